@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import quality
+from quern.llm import neardup, quality
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,5 +22,15 @@ def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_types(table(spark, folder, "normalized_documents"), table(spark, folder, "common_words"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_statistics": p1_statistics}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, linked = neardup.links(table(spark, folder, "normalized_documents"))
+    return neardup.record_pairs(members, linked)
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    members, linked = neardup.links(table(spark, folder, "normalized_documents"))
+    return neardup.groups(members, linked)
+
+
+QUERIES: dict[str, Query] = {name: value for name, value in list(globals().items()) if name[0] == "p" and name[1].isdigit()}
 SQL: dict[str, str] = {}
