@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import neardup, quality
+from quern.llm import neardup, packing, quality, tokens
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_types(table(spark, folder, "normalized_documents"), table(spark, folder, "common_words"))
 
 
+def p2_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_budget(table(spark, folder, "normalized_documents"), table(spark, folder, "tokenizer_pieces"), table(spark, folder, "language_labels"))
+
+
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(table(spark, folder, "normalized_documents"), table(spark, folder, "tokenizer_pieces"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     members, linked = neardup.links(table(spark, folder, "normalized_documents"))
     return neardup.record_pairs(members, linked)
@@ -32,5 +40,42 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(members, linked)
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    counts = tokens.token_counts(table(spark, folder, "documents"), table(spark, folder, "tokenizer_pieces"), "doc_id")
+    return packing.fill_containers(counts, 2048, "id")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that the packing had to split: all others are in one container."""
+    return p8_containers(spark, folder).groupBy("doc_id").agg(F.count("*").alias("parts")).where("parts > 1").select("doc_id")
+
+
 QUERIES: dict[str, Query] = {name: value for name, value in list(globals().items()) if name[0] == "p" and name[1].isdigit()}
-SQL: dict[str, str] = {}
+
+#: Tokens of each distinct chunk, one token a step, for the tables in the brackets.
+_CHUNK_TOKENS = """
+pieces AS (SELECT DISTINCT piece, length(piece) AS n FROM tokenizer_pieces WHERE length(piece) > 0),
+lengths AS (SELECT DISTINCT n FROM pieces),
+chunks AS (SELECT id, unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS chunk FROM texts),
+step(chunk, place, taken) AS (
+  SELECT DISTINCT chunk, 1::BIGINT, 0::BIGINT FROM chunks
+  UNION ALL
+  SELECT s.chunk, s.place + coalesce(max(p.n), 1), s.taken + 1
+  FROM step s CROSS JOIN lengths l LEFT JOIN pieces p ON p.piece = substr(s.chunk, s.place, l.n)
+  WHERE s.place <= length(s.chunk)
+  GROUP BY s.chunk, s.place, s.taken),
+sizes AS (SELECT chunk, max(taken) AS tokens FROM step GROUP BY chunk),
+counts AS (
+  SELECT t.id, coalesce(sum(z.tokens), 0)::BIGINT AS n_tokens
+  FROM texts t LEFT JOIN chunks c ON c.id = t.id LEFT JOIN sizes z ON z.chunk = c.chunk GROUP BY t.id)
+"""
+_RECORDS = "texts AS (SELECT id, max(text) AS text FROM normalized_documents WHERE id IS NOT NULL GROUP BY id)"
+
+SQL: dict[str, str] = {
+    "p2_records": f"WITH RECURSIVE {_RECORDS}, {_CHUNK_TOKENS} SELECT id, n_tokens FROM counts",
+    "p2_totals": f"""WITH RECURSIVE {_RECORDS}, {_CHUNK_TOKENS},
+        fields AS (SELECT id, max(lower(trim(source))) AS source, max(language) AS label_text, max(domain) AS domain FROM normalized_documents WHERE id IS NOT NULL GROUP BY id)
+        SELECT f.source, l.lang_code, f.domain, count(*) AS n_documents, sum(c.n_tokens)::BIGINT AS n_tokens
+        FROM fields f JOIN counts c ON c.id = f.id LEFT JOIN language_labels l ON l.label_text = f.label_text GROUP BY ALL""",
+    "p8_found": f"WITH RECURSIVE texts AS (SELECT doc_id AS id, text FROM documents), {_CHUNK_TOKENS} SELECT id AS doc_id FROM counts WHERE n_tokens > 2048",
+}
