@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import neardup, packing, quality, tokens
+from quern.llm import fields, mixing, neardup, packing, percentiles, quality, sampling, tokens
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,15 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(table(spark, folder, "normalized_documents"), table(spark, folder, "tokenizer_pieces"))
 
 
+def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    return percentiles.group_percentiles(table(spark, folder, "metric_points"))
+
+
+def p3_rank_check(spark: SparkSession, folder: str) -> DataFrame:
+    points = table(spark, folder, "metric_points")
+    return percentiles.rank_check(points, percentiles.group_percentiles(points))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     members, linked = neardup.links(table(spark, folder, "normalized_documents"))
     return neardup.record_pairs(members, linked)
@@ -40,6 +49,38 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(members, linked)
 
 
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return fields.records(*(table(spark, folder, t) for t in ("normalized_documents", "band_records", "language_labels")))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets that the mixture's report shows to be out of reach."""
+    _, report = mixing.mix(_records(spark, folder), table(spark, folder, "mix_targets"))
+    return report.where("out_of_reach").select("plan_id", "group_key")
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_records(spark, folder), table(spark, folder, "mix_targets"))[1]
+
+
+def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_records(spark, folder), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets that the sample's report shows to be out of reach."""
+    _, report = sampling.sample(_records(spark, folder), table(spark, folder, "sample_targets"))
+    return report.where("out_of_reach").select("plan_id", "category")
+
+
+def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.sample(_records(spark, folder), table(spark, folder, "sample_targets"))[0]
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.sample(_records(spark, folder), table(spark, folder, "sample_targets"))[1]
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     counts = tokens.token_counts(table(spark, folder, "documents"), table(spark, folder, "tokenizer_pieces"), "doc_id")
     return packing.fill_containers(counts, 2048, "id")
@@ -69,6 +110,14 @@ counts AS (
   SELECT t.id, coalesce(sum(z.tokens), 0)::BIGINT AS n_tokens
   FROM texts t LEFT JOIN chunks c ON c.id = t.id LEFT JOIN sizes z ON z.chunk = c.chunk GROUP BY t.id)
 """
+_FIELDS = """
+bands AS (SELECT id, arg_max({band: band}, processed_at).band AS band FROM band_records WHERE id IS NOT NULL GROUP BY id),
+one AS (
+  SELECT id, max(length(text)) AS n_chars, max(lower(trim(source))) AS source, max(dataset) AS dataset, max(domain) AS domain, max(language) AS label_text
+  FROM normalized_documents WHERE id IS NOT NULL GROUP BY id),
+recs AS (SELECT o.*, b.band, l.lang_code AS language FROM one o LEFT JOIN bands b ON b.id = o.id LEFT JOIN language_labels l ON l.label_text = o.label_text)
+"""
+_FINITE = "SELECT run_id, metric, value, row_number() OVER (PARTITION BY run_id, metric ORDER BY value) AS rn, count(*) OVER (PARTITION BY run_id, metric) AS n FROM metric_points WHERE isfinite(value)"
 _RECORDS = "texts AS (SELECT id, max(text) AS text FROM normalized_documents WHERE id IS NOT NULL GROUP BY id)"
 
 SQL: dict[str, str] = {
@@ -77,5 +126,21 @@ SQL: dict[str, str] = {
         fields AS (SELECT id, max(lower(trim(source))) AS source, max(language) AS label_text, max(domain) AS domain FROM normalized_documents WHERE id IS NOT NULL GROUP BY id)
         SELECT f.source, l.lang_code, f.domain, count(*) AS n_documents, sum(c.n_tokens)::BIGINT AS n_tokens
         FROM fields f JOIN counts c ON c.id = f.id LEFT JOIN language_labels l ON l.label_text = f.label_text GROUP BY ALL""",
+    "p3_percentiles": f"WITH r AS ({_FINITE}) SELECT run_id, metric, n AS n_finite, "
+    + ", ".join(f"max(value) FILTER (rn = greatest(1, ({p} * n + 99) // 100)) AS p{p:02d}" for p in percentiles.PERCENTS)
+    + ", 0.0::DOUBLE AS rank_error FROM r GROUP BY run_id, metric, n",
+    "p3_rank_check": "SELECT run_id, metric, count(*) AS n_finite, true AS within FROM metric_points WHERE isfinite(value) GROUP BY run_id, metric",
+    "p6_found": f"""WITH {_FIELDS}, sizes AS (
+          SELECT 'source' AS field_name, source AS group_key, sum(n_chars) AS chars FROM recs GROUP BY ALL
+          UNION ALL SELECT 'dataset', dataset, sum(n_chars) FROM recs GROUP BY ALL
+          UNION ALL SELECT 'band', band, sum(n_chars) FROM recs GROUP BY ALL)
+        SELECT m.plan_id, m.group_key FROM mix_targets m LEFT JOIN sizes s USING (field_name, group_key)
+        WHERE coalesce(s.chars, 0)::DOUBLE * m.max_repeats < m.target_share * m.plan_chars""",
+    "p7_found": f"""WITH {_FIELDS}, sizes AS (
+          SELECT 'domain' AS field_name, domain AS category, count(*) AS n FROM recs GROUP BY ALL
+          UNION ALL SELECT 'language', language, count(*) FROM recs GROUP BY ALL
+          UNION ALL SELECT 'band', band, count(*) FROM recs GROUP BY ALL)
+        SELECT t.plan_id, t.category FROM sample_targets t LEFT JOIN sizes s USING (field_name, category)
+        WHERE coalesce(s.n, 0) < t.target_share * t.sample_records OR coalesce(s.n, 0) < t.min_records""",
     "p8_found": f"WITH RECURSIVE texts AS (SELECT doc_id AS id, text FROM documents), {_CHUNK_TOKENS} SELECT id AS doc_id FROM counts WHERE n_tokens > 2048",
 }
