@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import fields, mixing, neardup, packing, percentiles, quality, sampling, tokens
+from quern.llm import fields, leakage, mixing, neardup, packing, percentiles, quality, sampling, tokens
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,19 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_containers(spark, folder).groupBy("doc_id").agg(F.count("*").alias("parts")).where("parts > 1").select("doc_id")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_unaffected(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return leakage.unaffected(documents, leakage.leaks(documents, table(spark, folder, "eval_items"))).select("doc_id", "source")
+
+
 QUERIES: dict[str, Query] = {name: value for name, value in list(globals().items()) if name[0] == "p" and name[1].isdigit()}
 
 #: Tokens of each distinct chunk, one token a step, for the tables in the brackets.
