@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import fields, leakage, mixing, neardup, packing, percentiles, quality, sampling, tokens
+from quern.llm import fields, leakage, mixing, neardup, packing, percentiles, quality, sampling, subjects, tokens
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,19 @@ def p9_unaffected(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.unaffected(documents, leakage.leaks(documents, table(spark, folder, "eval_items"))).select("doc_id", "source")
 
 
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.document_subjects(*(table(spark, folder, t) for t in ("documents", "subjects", "subject_labels")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and mean share of units by subject."""
+    return _subjects(spark, folder).groupBy("subject").agg(F.count("*").alias("n_documents"), F.avg("share").alias("mean_share"))
+
+
 QUERIES: dict[str, Query] = {name: value for name, value in list(globals().items()) if name[0] == "p" and name[1].isdigit()}
 
 #: Tokens of each distinct chunk, one token a step, for the tables in the brackets.
