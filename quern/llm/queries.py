@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import fields, leakage, mixing, neardup, packing, percentiles, quality, sampling, subjects, tokens
+from quern.llm import fields, language, leakage, mixing, neardup, packing, percentiles, quality, sampling, subjects, tokens
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,27 @@ def p3_rank_check(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.rank_check(points, percentiles.group_percentiles(points))
 
 
+def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "normalized_documents")
+    return language.languages(documents, language.fit(documents, table(spark, folder, "language_labels")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose label is missing, wrong or too few, with each of their languages; lists, tables and junk aside."""
+    documents = table(spark, folder, "normalized_documents")
+    checked = language.label_check(documents, table(spark, folder, "language_labels"), _passages(spark, folder))
+    return checked.where("is_case").select("id", "lang_code").join(p1_found(spark, folder).select("id"), "id", "left_anti")
+
+
+def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "normalized_documents")
+    return language.label_check(documents, table(spark, folder, "language_labels"), _passages(spark, folder))
+
+
+def p4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return _passages(spark, folder).distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     members, linked = neardup.links(table(spark, folder, "normalized_documents"))
     return neardup.record_pairs(members, linked)
