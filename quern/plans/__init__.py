@@ -1,4 +1,6 @@
 """Queries of the core by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quern.plans import banding, choosing, cleaning, corpus, duplicates, telemetry
+from quern.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "banding", "choosing", "cleaning", "corpus", "duplicates", "telemetry"]
