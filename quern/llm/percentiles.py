@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.checkpoints import written
+
 SIZE, FAN = 512, 8
 #: Buffers of so many partitions at most are combined by one task; more are combined in rounds.
 MERGE_FAN = 256
@@ -89,90 +91,135 @@ class Buffers:
         return n, [float(x) for x in v[order][at]], (self.loss + largest / 2) if largest > 1 else 0.0
 
 
-KEYS = ("run_id", "metric")
-BUFFERS = "run_id string, metric string, slot long, level int, loss double, vals array<double>"
+KEYS = ("run_id", "metric", "host")
+BUFFERS = "run_id string, metric string, part string, slot long, level int, loss double, vals array<double>"
+COLUMNS = ["run_id", "metric", "part", "slot", "level", "loss", "vals"]
 
 
 def _none(x):
     return None if x is None or x != x else x
 
 
-def buffers(points: DataFrame, group: tuple[str, str] = KEYS, value: str = "value") -> DataFrame:
-    """Mergeable state: buffers of each group in each partition. Only finite values count; rows count as often as delivered."""
+def buffers(points: DataFrame, group: tuple[str, str, str] = KEYS, value: str = "value") -> DataFrame:
+    """Mergeable state: buffers of each group (run, metric and a part such as the host) in each partition. Only finite values
+    count; rows count as often as delivered."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict[tuple, Buffers] = {}
         for batch in batches:
-            a, first = pd.factorize(batch.iloc[:, 0], use_na_sentinel=False)
-            b, second = pd.factorize(batch.iloc[:, 1], use_na_sentinel=False)
-            code = a.astype(np.int64) * max(1, len(second)) + b
+            code, names = np.zeros(len(batch), dtype=np.int64), []
+            for i in range(3):
+                at, seen = pd.factorize(batch.iloc[:, i], use_na_sentinel=False)
+                code = code * max(1, len(seen)) + at
+                names.append((at, seen))
             order = np.argsort(code, kind="stable")
-            code, values = code[order], batch.iloc[:, 2].to_numpy()[order]
+            code, values = code[order], batch.iloc[:, 3].to_numpy()[order]
             starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
             for s, e in zip(starts, [*starts[1:], len(code)]):
-                key = (_none(first[code[s] // len(second)]), _none(second[code[s] % len(second)]))
+                key = tuple(_none(seen[at[order[s]]]) for at, seen in names)
                 if key not in state:
                     state[key] = Buffers()
                 state[key].add(values[s:e])
         yield from _frames(state, TaskContext.get().partitionId())
 
-    rows = points.select(F.col(group[0]).cast("string"), F.col(group[1]).cast("string"), F.col(value).cast("double"))
+    rows = points.select(*(F.col(g).cast("string") for g in group), F.col(value).cast("double"))
     finite = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     return finite.mapInPandas(run, BUFFERS)
 
 
 def _frames(state: dict[tuple, Buffers], slot: int) -> Iterator[pd.DataFrame]:
     out = []
-    for (x, y), s in state.items():
+    for key, s in state.items():
         loss = s.loss
         for level, values in s.rows():
-            out.append((x, y, slot, level, loss, values))
+            out.append((*key, slot, level, loss, values))
             loss = 0.0  # the group's loss stands in one of its rows
         if len(out) >= 2000:
-            yield pd.DataFrame(out, columns=["run_id", "metric", "slot", "level", "loss", "vals"])
+            yield pd.DataFrame(out, columns=COLUMNS)
             out = []
-    yield pd.DataFrame(out, columns=["run_id", "metric", "slot", "level", "loss", "vals"])
+    yield pd.DataFrame(out, columns=COLUMNS)
 
 
-def _joined(group: pd.DataFrame) -> Buffers:
+def _joined(rows: list[tuple]) -> Buffers:
+    """One state from rows (level, loss, values), whatever their order."""
     state = Buffers()
-    for level, values in sorted(zip(group["level"], group["vals"]), key=lambda x: (x[0], len(x[1]), x[1][0])):
-        state.take(int(level), np.asarray(values))
-    state.loss = float(group["loss"].sum())
+    for level, _, values in sorted(rows, key=lambda x: (x[0], len(x[2]), x[2][0])):
+        state.take(level, values)
+    state.loss = float(sum(loss for _, loss, _ in rows))
     state.settle()
     return state
 
 
+def _by_group(state: DataFrame, keys: list[str], answer, schema: str) -> DataFrame:
+    """Rows of ``answer(key, state)`` for each group. Groups come sorted, many to a batch, so that small ones cost little; of a
+    group only its buffers are held at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        key, rows, out = None, [], []
+        for batch in batches:
+            for *now, level, loss, values in batch.itertuples(index=False, name=None):
+                now = tuple(map(_none, now))
+                if rows and now != key:
+                    out.extend(answer(key, _joined(rows)))
+                    rows = []
+                    if len(out) >= 2000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+                key = now
+                rows.append((level, loss, values))
+        if rows:
+            out.extend(answer(key, _joined(rows)))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return state.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "level", "loss", "vals").mapInPandas(run, schema)
+
+
 def merged(state: DataFrame, slots: int) -> DataFrame:
-    """The same state with fewer rows: buffers of up to MERGE_FAN slots of a group in one."""
+    """The same state with fewer rows: buffers of several slots of a group in one."""
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        key = (_none(group["run_id"].iloc[0]), _none(group["metric"].iloc[0]))
-        return pd.concat(_frames({key: _joined(group)}, int(group["slot"].iloc[0])))
+    def merge(key: tuple, joined: Buffers) -> list[tuple]:
+        losses = [joined.loss]
+        return [(*key, level, losses.pop() if losses else 0.0, values) for level, values in joined.rows()]
 
-    return state.withColumn("slot", F.col("slot") % slots).groupBy("run_id", "metric", "slot").applyInPandas(merge, BUFFERS)
+    return _by_group(state.withColumn("slot", F.col("slot") % slots), ["run_id", "metric", "part", "slot"], merge, BUFFERS)
 
 
 def percentiles(state: DataFrame, slots: int, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
-    """``run_id, metric, n_finite, p01.., rank_error`` from the buffers of ``slots`` partitions, however they were combined.
+    """``run_id, metric, part, n_finite, p01.., rank_error`` from the buffers of ``slots`` partitions, however they were combined.
 
     The value at p % is the least with at least p % of the values at or below it, within rank_error ranks. Groups without a
-    finite value have no row; a null run or metric is a group of its own.
+    finite value have no row; a null run, metric or part is a group of its own.
     """
     while slots > MERGE_FAN:
         slots = -(-slots // MERGE_FAN)
         state = merged(state, slots)
 
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        n, values, error = _joined(group).answer(percents)
-        return pd.DataFrame([(_none(group["run_id"].iloc[0]), _none(group["metric"].iloc[0]), n, *values, error)])
+    def answer(key: tuple, joined: Buffers) -> list[tuple]:
+        n, values, error = joined.answer(percents)
+        return [(*key, n, *values, error)]
+
+    schema = "run_id string, metric string, part string, n_finite long, " + ", ".join(f"p{p:02d} double" for p in percents) + ", rank_error double"
+    return _by_group(state, ["run_id", "metric", "part"], answer, schema)
+
 
-    schema = "run_id string, metric string, n_finite long, " + ", ".join(f"p{p:02d} double" for p in percents) + ", rank_error double"
-    return state.groupBy("run_id", "metric").applyInPandas(answer, schema)
+def over_all_parts(state: DataFrame, slots: int, parts: int = 64) -> tuple[DataFrame, int]:
+    """The state of whole groups, from that of their parts: parts are spread over slots by a hash and then combined as
+    partitions are, so a group with very many parts isn't gathered at once."""
+    spread = F.col("slot") * parts + F.pmod(F.xxhash64("part"), F.lit(parts))
+    return state.select("run_id", "metric", F.lit(None).cast("string").alias("part"), spread.alias("slot"), "level", "loss", "vals"), slots * parts
 
 
-def group_percentiles(points: DataFrame, group: tuple[str, str] = KEYS, value: str = "value", percents: tuple[int, ...] = PERCENTS) -> DataFrame:
-    return percentiles(buffers(points, group, value), max(1, points.rdd.getNumPartitions()), percents)
+def group_percentiles(points: DataFrame, group: tuple[str, str, str] = KEYS, value: str = "value", percents: tuple[int, ...] = PERCENTS) -> DataFrame:
+    """``run_id, metric, scope, host, n_finite, p01.., rank_error``: a row for each run and metric (scope all), and for each of
+    its hosts (scope host). Values are read once; the totals are combined from the hosts' buffers."""
+    slots = max(1, points.rdd.getNumPartitions())
+    state = written(buffers(points, group, value), "buffers")
+    total, many = over_all_parts(state, slots)
+    columns = ["n_finite", *(f"p{p:02d}" for p in percents), "rank_error"]
+    by_part = percentiles(state, slots, percents).select("run_id", "metric", F.lit("host").alias("scope"), F.col("part").alias("host"), *columns)
+    return by_part.unionByName(percentiles(total, many, percents).select("run_id", "metric", F.lit("all").alias("scope"), F.col("part").alias("host"), *columns))
 
 
 def rank_check(points: DataFrame, found: DataFrame, percents: tuple[int, ...] = PERCENTS) -> DataFrame:

@@ -36,7 +36,7 @@ def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_rank_check(spark: SparkSession, folder: str) -> DataFrame:
     points = table(spark, folder, "metric_points")
-    return percentiles.rank_check(points, percentiles.group_percentiles(points))
+    return percentiles.rank_check(points, percentiles.group_percentiles(points).where("scope = 'all'"))
 
 
 def _passages(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +164,7 @@ one AS (
   FROM normalized_documents WHERE id IS NOT NULL GROUP BY id),
 recs AS (SELECT o.*, b.band, l.lang_code AS language FROM one o LEFT JOIN bands b ON b.id = o.id LEFT JOIN language_labels l ON l.label_text = o.label_text)
 """
-_FINITE = "SELECT run_id, metric, value, row_number() OVER (PARTITION BY run_id, metric ORDER BY value) AS rn, count(*) OVER (PARTITION BY run_id, metric) AS n FROM metric_points WHERE isfinite(value)"
+_FINITE = "SELECT *, row_number() OVER (PARTITION BY run_id, metric, scope, host ORDER BY value) AS rn, count(*) OVER (PARTITION BY run_id, metric, scope, host) AS n FROM (SELECT run_id, metric, 'host' AS scope, host, value FROM metric_points WHERE isfinite(value) UNION ALL SELECT run_id, metric, 'all', NULL, value FROM metric_points WHERE isfinite(value))"
 _RECORDS = "texts AS (SELECT id, max(text) AS text FROM normalized_documents WHERE id IS NOT NULL GROUP BY id)"
 
 SQL: dict[str, str] = {
@@ -173,9 +173,9 @@ SQL: dict[str, str] = {
         fields AS (SELECT id, max(lower(trim(source))) AS source, max(language) AS label_text, max(domain) AS domain FROM normalized_documents WHERE id IS NOT NULL GROUP BY id)
         SELECT f.source, l.lang_code, f.domain, count(*) AS n_documents, sum(c.n_tokens)::BIGINT AS n_tokens
         FROM fields f JOIN counts c ON c.id = f.id LEFT JOIN language_labels l ON l.label_text = f.label_text GROUP BY ALL""",
-    "p3_percentiles": f"WITH r AS ({_FINITE}) SELECT run_id, metric, n AS n_finite, "
+    "p3_percentiles": f"WITH r AS ({_FINITE}) SELECT run_id, metric, scope, host, n AS n_finite, "
     + ", ".join(f"max(value) FILTER (rn = greatest(1, ({p} * n + 99) // 100)) AS p{p:02d}" for p in percentiles.PERCENTS)
-    + ", 0.0::DOUBLE AS rank_error FROM r GROUP BY run_id, metric, n",
+    + ", 0.0::DOUBLE AS rank_error FROM r GROUP BY run_id, metric, scope, host, n",
     "p3_rank_check": "SELECT run_id, metric, count(*) AS n_finite, true AS within FROM metric_points WHERE isfinite(value) GROUP BY run_id, metric",
     "p6_found": f"""WITH {_FIELDS}, sizes AS (
           SELECT 'source' AS field_name, source AS group_key, sum(n_chars) AS chars FROM recs GROUP BY ALL
