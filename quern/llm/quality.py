@@ -121,7 +121,7 @@ def patterns(text: str, counts_of: WordCounts) -> tuple[dict[int, int], tuple]:
     words_all = [w for x in split for w in x]
     again = repeated_share(text) > 0.6 or word_repeats(words_all)
     variety = len(set(words_all)) / max(1, len(words_all))
-    unusual = len(words_all) >= 15 and not 0.55 <= variety <= 0.95
+    different = len(words_all) >= 15 and variety > 0.95
     mask = (1 << WIDTH) - 1
     total, ends = 0, 0
     for i, (line, words, n) in enumerate(zip(lines, split, bare)):
@@ -133,7 +133,9 @@ def patterns(text: str, counts_of: WordCounts) -> tuple[dict[int, int], tuple]:
         near, rows = neighbours(bare, i), neighbours(delimiters, i)
         # A row of cells has as many of a delimiter as a neighbour, and its cells are short.
         same = any(k and (at != "," or k > 1 and not ended) and any(r[j] == k for r in rows) and len(words) <= 3 * (k + 1) for j, (at, k) in enumerate(zip(DELIMITERS, delimiters[i])))
-        columns = gaps[i] > 0 and gaps[i] in neighbours(gaps, i)
+        # Columns of single values; sentences with wide spaces between all words have small words or end as sentences do.
+        spoken = ended and n >= 6 or known > 0.12 * len(words)
+        columns = gaps[i] > 0 and gaps[i] in neighbours(gaps, i) and not spoken
         pairs = len(PAIR.findall(line)) if "=" in line or "<" in line or '"' in line else 0
         named = pairs >= 2 and 3 * pairs >= len(words) or (size > 2 and symbols == size and set(line) <= RULE)
         colon = line.find(":")
@@ -143,8 +145,11 @@ def patterns(text: str, counts_of: WordCounts) -> tuple[dict[int, int], tuple]:
         row = same or columns or named
         symbolic, codes, stretch = symbols > 0.4 * size, coded > 0.5 * size or digits > 0.6 * size, stretched > 0.4 * size
         garbled = noise >= 3 and noise > 0.2 * len(words) or wrong > 0.1 * size
-        # Sentences need small words and marks; a long line without either, of words all different or a few over and over, says nothing.
-        unconnected = unusual and n >= 5 and known <= 0.03 * n and symbols <= 0.03 * size and not ended
+        # A line of cells put one after another: many numbers among the words, and neither small words nor marks.
+        bare_line = known <= 0.03 * n and not ended
+        columns |= bare_line and n >= 12 and sum(w[:1].isdigit() for w in words) >= 0.15 * n and 2 * digits < size
+        # Sentences need small words and marks; a long line without either, of words all different or of names among others, says nothing.
+        unconnected = bare_line and n >= 5 and symbols <= 0.03 * size and not columns and (different or n >= 12 and sum(w[:1].isupper() for w in words) >= 0.1 * n)
         junk = symbolic or codes or stretch or garbled or again or unconnected
         text_like = not row and not junk and not inline
         votes = (
