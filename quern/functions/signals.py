@@ -164,6 +164,12 @@ def rejections(df: DataFrame) -> DataFrame:
     return df.withColumns({"rejection_reason": reason.otherwise(""), "rejection_level": level}).withColumn("is_rejected", F.col("rejection_reason") != "")
 
 
+def where_computed(df: DataFrame, condition: str) -> DataFrame:
+    """Rows by a condition on costly computed columns. A plain filter would be pushed below their projection and compute them a
+    second time in the scan; the row number in the mark keeps it above."""
+    return df.withColumn("_kept", F.when(F.expr(condition), F.monotonically_increasing_id())).where("_kept IS NOT NULL").drop("_kept")
+
+
 def banded(df: DataFrame, indic_prefixes: tuple[str, ...] = ("sangraha_",)) -> DataFrame:
     """All signals, the rejection and the band of each row, in one projection over one scan; the text isn't carried on."""
     return rejections(bands(scores(sampled(noise(basic(df, indic_prefixes))).drop("text"))))

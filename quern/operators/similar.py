@@ -16,7 +16,7 @@ from quern.checkpoints import written
 from quern.operators.signatures import word_grams, words
 
 PRIME = 2**31 - 1
-BAND_COUNT, BAND_ROWS = 20, 5
+BAND_COUNT, BAND_ROWS = 16, 4
 #: A bucket with more classes is split by a further band, so that no task makes pairs of a large group.
 HOT_BUCKET = 100
 

@@ -157,12 +157,12 @@ def noise_metrics(spark, folder):
 
 @query("sig11_rejections", f"{ALL} SELECT doc_id, rejection_reason, rejection_level FROM banded WHERE rejection_reason <> ''")
 def rejected(spark, folder):
-    return all_signals(spark, folder).where("is_rejected").select("doc_id", "rejection_reason", "rejection_level")
+    return s.where_computed(all_signals(spark, folder), "is_rejected").select("doc_id", "rejection_reason", "rejection_level")
 
 
 @query("sig12_accepted", f"{ALL} SELECT doc_id, source, lang, band, round(difficulty_score, 6) AS difficulty_score, word_count, token_count_estimate FROM banded WHERE rejection_reason = ''")
 def accepted(spark, folder):
-    return all_signals(spark, folder).where("NOT is_rejected").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "lang", "band", *rounded("difficulty_score"), "word_count", "token_count_estimate")
+    return s.where_computed(all_signals(spark, folder), "NOT is_rejected").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "lang", "band", *rounded("difficulty_score"), "word_count", "token_count_estimate")
 
 
 @query("tok16_distribution", f"""{ALL} SELECT source, lang, band, count(*) AS n_documents, sum(token_count_estimate)::BIGINT AS n_tokens, sum(word_count)::BIGINT AS n_words,

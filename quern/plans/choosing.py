@@ -43,7 +43,7 @@ def bucket_targets(spark, folder):
     return targets(spark, folder).select("band", "domain", "n_documents", "available", "target")
 
 
-SCORE = "CASE WHEN n > 0 THEN 0.6 + 0.4 * least(n, 100) / 512 ELSE 0.3 END"
+SCORE = "CASE WHEN n > 0 THEN CAST(0.6 AS DOUBLE) + CAST(0.4 AS DOUBLE) * least(n, 100) / 512 ELSE CAST(0.3 AS DOUBLE) END"
 
 
 @query("sel02_scores", f"WITH {_DOCS} SELECT doc_id, round({SCORE}, 6) AS score FROM d")

@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.sources.readers import table
+
+__all__ = ["QUERIES", "SQL", "Query", "query", "table"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +28,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     return add
 
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")

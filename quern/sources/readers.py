@@ -56,3 +56,20 @@ def benchmark_items(df: DataFrame) -> DataFrame:
     """``item``: the question, or the whole row as JSON where there is none."""
     whole = F.to_json(F.struct(*df.columns))
     return df.withColumn("item", F.coalesce(F.col("question"), whole) if "question" in df.columns else whole)
+
+
+#: Columns by which the rows of the text tables are spread.
+KEYS = {"documents": "doc_id", "normalized_documents": "id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The same rows over all cores, where a scan has work for less than half of them: a small file is one partition, and
+    work on texts is long. On a scan with partitions enough, as any large table has, nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder of Parquet tables; filters and columns reach the scan."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df, KEYS[name]) if name in KEYS and KEYS[name] in df.columns else df
