@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.readers import table
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+__all__ = ["bounded_rows", "keyed", "table", "unit"]
 
 
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
@@ -32,8 +30,3 @@ def unit(seed: int, *columns: Column | str) -> Column:
     """A number in (0, 1) that depends on the seed and the columns only."""
     bits = F.xxhash64(F.lit(seed), *columns)
     return (F.shiftrightunsigned(bits, 11).cast("double") + F.lit(0.5)) / F.lit(float(2**53))
-
-
-def tasks_for(spark: SparkSession, rows: float, rows_a_task: float) -> int:
-    """Tasks so that each holds about ``rows_a_task`` rows."""
-    return max(1, math.ceil(rows / rows_a_task))
