@@ -84,3 +84,37 @@ def rolling_admission(df: DataFrame, key: str, order: str, size: str, targets: d
     rows = df.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.coalesce(size, F.lit(0)).cast("long").alias("_size")).withColumn("_lane", F.pmod(F.xxhash64("_order"), F.lit(lanes)))
     kind = rows.schema["_order"].dataType.simpleString()
     return rows.groupBy("_lane").applyInPandas(run, f"_order {kind}").withColumnRenamed("_order", order)
+
+
+def batch_budgets(available: dict[tuple, int], shares: dict, target: int) -> dict[tuple, int]:
+    """Budget of each (batch, key) in order of batches: the batch's part of the target by its share of all tokens, split by the
+    keys' shares. What a key couldn't take in a batch is carried to its later ones; no key gets more than its whole share."""
+    batches = sorted({b for b, _ in available})
+    total = sum(available.values())
+    left = {k: int(target * s) for k, s in shares.items()}
+    carried: dict = dict.fromkeys(shares, 0)
+    out = {}
+    for b in batches:
+        of_batch = sum(n for (i, _), n in available.items() if i == b)
+        for k, s in shares.items():
+            wanted = min(left[k], int(target * of_batch * s / total) + carried[k]) if total else 0
+            got = min(wanted, available.get((b, k), 0))
+            out[b, k] = wanted
+            carried[k] = wanted - got
+            left[k] -= got
+    return out
+
+
+def batched_fill(df: DataFrame, batch: str, key: str, order: str, tie: str, size: str, shares: dict, target: int) -> DataFrame:
+    """``batch, key, tie`` of the best rows of each batch under budgets carried from batch to batch.
+
+    Budgets need only what each batch has of each key, a table of batches times keys; rows are then taken in all batches at once."""
+    spark = df.sparkSession
+    totals = df.where(F.col(key).isin(list(shares))).groupBy(batch, key).agg(F.sum(F.coalesce(size, F.lit(0))).alias("n")).limit(MOST_GROUPS + 1).collect()
+    if len(totals) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} batches times keys; make batches larger")
+    budgets = batch_budgets({(r[0], r[1]): r[2] for r in totals}, shares, target)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    table = spark.createDataFrame([(b, k, n) for (b, k), n in budgets.items()], f"_b {kinds[batch]}, _k {kinds[key]}, _budget long")
+    rows = df.join(F.broadcast(table), (F.col(batch) == F.col("_b")) & (F.col(key) == F.col("_k"))).drop("_b", "_k")
+    return with_total_before(rows, [batch, key], order, tie, size).where(F.col("before") < F.col("_budget")).select(batch, key, tie)

@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.checkpoints import shared_folder
-from quern.operators.admission import rolling_admission, skip_fit
+from quern.operators.admission import batched_fill, rolling_admission, skip_fit
+from quern.operators.sequences import packed_in_order
 from quern.plans.registry import query, table
 from quern.sources import readers, writers
 from quern.streaming import telemetry as live
@@ -142,6 +143,21 @@ def rolling(spark, folder):
     return rolling_admission(rows, "band", "doc_id", "n", shares, 2_000_000, 0.03)
 
 
+@query("sel11_batched_budgets")
+def batched(spark, folder):
+    """Batches of 500 consecutive ids under a stage's budget by band; what a batch lacks is made up later."""
+    rows = _docs(spark, folder).select("doc_id", "band", F.floor(F.col("doc_id") / 500).alias("batch"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).where("band IS NOT NULL")
+    shares = {"B0": 0.3, "B1": 0.3, "B2": 0.2, "B3": 0.1, "B4": 0.05, "B5": 0.05}
+    return batched_fill(rows, "batch", "band", "n", "doc_id", "n", shares, 500_000)
+
+
+@query("pck04_linear_packs")
+def linear(spark, folder):
+    """Documents of a source in order, until a pack has 2,048 words."""
+    rows = _docs(spark, folder).select("doc_id", "source", F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("n"))
+    return packed_in_order(rows, "source", "doc_id", "n", 2048)
+
+
 def _t(spark, folder, name):
     return table(spark, folder, name)
 

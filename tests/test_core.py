@@ -226,6 +226,27 @@ def test_admission_never_blocks_while_filling(rows):
     assert all(admission.admit(rows, {"a": 0.5, "b": 0.5}, 10**6, 0.1))
 
 
+def test_batched_budgets_carry_over(spark):
+    rows = [(b, k, 100 * b + i, 10) for b, k, n in ((0, "a", 1), (0, "b", 9), (1, "a", 9), (1, "b", 1)) for i in range(n)]
+    rows = [(b, k, 10 * t + (k == "b"), s) for b, k, t, s in rows] + [(1, None, 99999, 10)]
+    df = spark.createDataFrame(rows, "batch long, k string, t long, s long")
+    found = admission.batched_fill(df, "batch", "k", "s", "t", "s", {"a": 0.5, "b": 0.5}, 100).collect()
+    assert {(b, k): sum(r["batch"] == b and r["k"] == k for r in found) for b in (0, 1) for k in "ab"} == {(0, "a"): 1, (0, "b"): 3, (1, "a"): 4, (1, "b"): 1}
+
+
+def test_linear_packs_reach_their_size(spark):
+    rng = random.Random(3)
+    rows = [("x", i, rng.choice([None, 0, 5, 40, 90])) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, id long, n long")
+    found = sequences.packed_in_order(df, "g", "id", "n", 100, 1000).collect()
+    sizes = {}
+    for r in found:
+        sizes.setdefault((r["lane"], r["pack"], r["is_full"]), []).append(rows[r["id"]][2] or 0)
+    assert len(found) == 120 and all(sum(v) >= 100 for (_, _, full), v in sizes.items() if full)
+    whole = sequences.packed_in_order(df, "g", "id", "n", 100).orderBy("id").collect()
+    assert [r["pack"] for r in whole] == sequences.linear_packs([r[2] or 0 for r in rows], 100)[0]
+
+
 # versions and downsampling
 
 
