@@ -70,3 +70,38 @@ def similar_documents(documents: DataFrame, key: str, text: str, least: float =
     degree = linked.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     sizes = members.groupBy("class").agg(F.count("*").alias("class_size"))
     return members.join(sizes, "class").join(degree, "class", "left").select(key, "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_size")
+
+
+MOST_ROUNDS = 60
+
+
+def survivors(members: DataFrame, linked: DataFrame, scores: DataFrame, key: str, score: str) -> DataFrame:
+    """``key`` of the documents that stay when duplicates are merged by score.
+
+    Of equal texts the best document stays (the highest score, then the lowest key; a null score is the lowest). Of similar
+    classes, taken from the best down, one stays unless a similar one stayed before. That order is followed without a loop over
+    rows: in each round every class that is better than all its undecided neighbours stays and its neighbours go.
+    """
+    value = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    scored = members.join(scores.select(key, score), key, "left")
+    # The least of (negated score, key) is the best; classes with equal scores go by key as well.
+    best = F.min(F.struct((-value).alias("s"), F.col(key).alias("k"))).alias("m")
+    heads = written(scored.groupBy("class").agg(best).select("class", "m", F.col("m.k").alias(key)), "class_heads")
+    rank = F.col("m")
+    both = linked.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")).union(linked.select(F.col("class_b").alias("u"), F.col("class_a").alias("v")))
+    edges = both.join(heads.select(F.col("class").alias("v"), rank.alias("rv")), "v").join(heads.select(F.col("class").alias("u"), rank.alias("ru")), "u")
+    edges = written(edges.select("u", "v", "ru", "rv"), "class_edges")
+    gone = edges.select(F.col("u").alias("class")).where("false")
+    for _ in range(MOST_ROUNDS):
+        if edges.isEmpty():
+            break
+        stay = edges.groupBy("u", "ru").agg(F.min("rv").alias("m")).where(F.col("ru") < F.col("m")).select("u")
+        lost = written(edges.join(stay, "u").select(F.col("v").alias("class")).distinct(), "classes_lost")
+        gone = gone.union(lost)
+        done = stay.union(lost.select(F.col("class").alias("u")))
+        done = written(done, "classes_done")
+        rest = edges.join(done, "u", "left_anti").join(done.select(F.col("u").alias("v")), "v", "left_anti")
+        edges = written(rest.select("u", "v", "ru", "rv"), "class_edges")
+    else:
+        raise RuntimeError("survivors weren't complete after the last round")
+    return heads.join(gone, "class", "left_anti").select(key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import signatures as g
-from quern.operators.similar import similar_documents
+from quern.operators.similar import similar_classes, similar_documents, survivors
 from quern.plans.registry import query, table
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')"
@@ -94,6 +94,14 @@ def similar(spark, folder):
     return similar_documents(documents(spark, folder), "doc_id", "text")
 
 
+@query("ded09_merged")
+def merged(spark, folder):
+    """The documents that stay when equal and similar ones are merged, the longest first."""
+    members, linked = similar_classes(documents(spark, folder), "doc_id", "text")
+    lengths = documents(spark, folder).select("doc_id", F.length("text").alias("n"))
+    return survivors(members, linked, lengths, "doc_id", "n")
+
+
 @query("ded10_first_in_batch", "SELECT doc_id // 500 AS batch, min(doc_id) AS doc_id FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents) GROUP BY doc_id // 500, digest")
 def first_in_batch(spark, folder):
     """The first of equal texts in each batch of 500 consecutive ids."""

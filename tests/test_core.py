@@ -149,6 +149,25 @@ def test_similar_documents_match_brute_force(spark):
     assert members.select("id").distinct().count() == len(rows) - 1
 
 
+def test_survivors_match_the_loop(spark):
+    rng = random.Random(6)
+    n = 60
+    score = {i: rng.choice([None, 1.0, 2.0, 3.0]) for i in range(n)}
+    class_of = {i: i % 40 for i in range(n)}
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(50)}
+    members = spark.createDataFrame(list(class_of.items()), "id long, class long")
+    linked = spark.createDataFrame([(a, b, 0.9) for a, b in pairs], "class_a long, class_b long, similarity double")
+    scores = spark.createDataFrame(list(score.items()), "id long, quality double")
+    rank = lambda i: (-(float("-inf") if score[i] is None else score[i]), i)
+    heads = {c: min((i for i in range(n) if class_of[i] == c), key=rank) for c in range(40)}
+    kept = set()
+    for c in sorted(heads, key=lambda c: rank(heads[c])):
+        if not any((min(c, d), max(c, d)) in pairs for d in kept):
+            kept.add(c)
+    found = {r["id"] for r in similar.survivors(members, linked, scores, "id", "quality").collect()}
+    assert found == {heads[c] for c in kept}
+
+
 # budgets, sequences, admission
 
 
