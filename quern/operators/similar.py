@@ -17,7 +17,7 @@ from quern.operators.signatures import word_grams, words
 
 PRIME = 2**31 - 1
 BAND_COUNT, BAND_ROWS = 16, 4
-#: A bucket with more classes is split by a further band, so that no task makes pairs of a large group.
+#: A bucket with more classes is split by the other bands, so that chance collisions don't make pairs.
 HOT_BUCKET = 100
 
 
@@ -49,13 +49,15 @@ def similar_classes(documents: DataFrame, key: str, text: str, least: float = 0.
     tokens = documents.where(F.col(text).isNotNull()).select(F.col(key), words(F.col(text)).alias("tokens"))
     members = written(tokens.select(key, F.xxhash64(F.array_join("tokens", " ")).alias("class"), "tokens"), "class_members")
     one = members.groupBy("class").agg(F.min(F.struct(F.col(key), "tokens")).alias("m")).select("class", word_grams(F.col("m.tokens"), length).alias("grams")).where(F.size("grams") > 0)
-    hashed, *keys = _bands(F.col("grams"), BAND_COUNT + 1, BAND_ROWS, seed)
-    classes = written(one.withColumn("hashed", hashed).select("class", "grams", F.array(*keys[:-1]).alias("keys"), keys[-1].alias("spare")), "classes")
-    by_key = classes.select("class", "spare", F.explode("keys").alias("key"))
+    hashed, *keys = _bands(F.col("grams"), BAND_COUNT, BAND_ROWS, seed)
+    classes = written(one.withColumn("hashed", hashed).select("class", "grams", F.array(*keys).alias("keys")), "classes")
+    by_key = classes.select("class", F.explode("keys").alias("key"))
     counts = by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(by_key.join(counts, "key"), "class_buckets")
     usual = shared.where(F.col("n") <= HOT_BUCKET).select("key", "class")
-    hot = shared.where(F.col("n") > HOT_BUCKET).select(F.xxhash64("key", "spare").alias("key"), "class")
+    # Members of a hot bucket must agree in a second band: similar ones do, and chance collisions fall apart.
+    hot = shared.where(F.col("n") > HOT_BUCKET).select("key", "class").join(classes.select("class", "keys"), "class")
+    hot = hot.select("class", "key", F.explode("keys").alias("other")).where("key != other").select(F.xxhash64("key", "other").alias("key"), "class")
     pairs = _pairs(usual).union(_pairs(hot)).distinct()
     sets = classes.select("class", "grams")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b")

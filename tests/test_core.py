@@ -149,6 +149,15 @@ def test_similar_documents_match_brute_force(spark):
     assert members.select("id").distinct().count() == len(rows) - 1
 
 
+def test_hot_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HOT_BUCKET", 2)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(300)]
+    rows = [(k, " ".join(base[: 20 * k] + [f"n{k}"] + base[20 * k :])) for k in range(12)]
+    _, linked = similar.similar_classes(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    assert linked.count() == 12 * 11 // 2
+
+
 def test_survivors_match_the_loop(spark):
     rng = random.Random(6)
     n = 60
