@@ -431,6 +431,22 @@ def test_subjects_of_documents(spark):
     assert found[1001] == {"sport", "law"} and not {1000, 1002, 1003, 1004} & set(found)
 
 
+def test_a_subject_of_a_third_of_the_documents_is_found(spark, monkeypatch):
+    more = {"music": "violin chord melody sonata choir tempo", "food": "oven flour recipe butter sauce spice", "space": "orbit comet rocket planet lunar probe", "farm": "tractor barley harvest cattle plough orchard"}
+    for name, words in more.items():
+        monkeypatch.setitem(TOPICS, name, words.split())
+    names = ["sport"] * 10 + ["law", "music", "food", "space", "farm"] * 3 + [None] * 5
+    topics = [names[i % 30] for i in range(600)]
+    table = spark.createDataFrame([(i, about(t, 6, i), "en") for i, t in enumerate(topics)], "doc_id long, text string, lang string")
+    subject_table = spark.createDataFrame([(t,) for t in TOPICS], "subject string")
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(topics[:150]) if t], "doc_id long, subject string")
+    found = {}
+    for r in subjects.document_subjects(table, subject_table, labels).collect():
+        found.setdefault(r["doc_id"], set()).add(r["subject"])
+    right = {t: np.mean([found.get(i, set()) == ({t} if t else set()) for i, x in enumerate(topics) if x == t]) for t in set(topics)}
+    assert min(right.values()) > 0.95, right
+
+
 def test_subjects_of_empty_tables(spark):
     table = spark.createDataFrame([], "doc_id long, text string, lang string")
     subject_table, labels = spark.createDataFrame([], "subject string"), spark.createDataFrame([], "doc_id long, subject string")
