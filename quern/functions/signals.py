@@ -65,7 +65,7 @@ def hits(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def adaptive_sample(text: Column) -> Column:
-    """The text itself, or of a longer one its beginning: what the sampled signals look at."""
+    """The text itself, or of a longer one its beginning: what the signals look at if they are asked to sample by size."""
     expression = F
     size = F.length(text)
     for limit, taken in SAMPLE_STEPS:
@@ -101,9 +101,10 @@ def noise(df: DataFrame) -> DataFrame:
     })
 
 
-def sampled(df: DataFrame) -> DataFrame:
-    """Character, word and keyword signals of the adaptive sample."""
-    df = df.withColumn("text_sample", adaptive_sample(F.coalesce(F.col("text"), F.lit(""))))
+def sampled(df: DataFrame, by_size: bool = False) -> DataFrame:
+    """Character, word and keyword signals of the whole text; ``by_size``: of the adaptive sample only."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    df = df.withColumn("text_sample", adaptive_sample(text) if by_size else text)
     sample, size, low = F.col("text_sample"), F.length("text_sample"), F.lower("text_sample")
     words = F.split(sample, r"\s+")
     return df.withColumns({
@@ -170,6 +171,6 @@ def where_computed(df: DataFrame, condition: str) -> DataFrame:
     return df.withColumn("_kept", F.when(F.expr(condition), F.monotonically_increasing_id())).where("_kept IS NOT NULL").drop("_kept")
 
 
-def banded(df: DataFrame, indic_prefixes: tuple[str, ...] = ("sangraha_",)) -> DataFrame:
+def banded(df: DataFrame, indic_prefixes: tuple[str, ...] = ("sangraha_",), by_size: bool = False) -> DataFrame:
     """All signals, the rejection and the band of each row, in one projection over one scan; the text isn't carried on."""
-    return rejections(bands(scores(sampled(noise(basic(df, indic_prefixes))).drop("text"))))
+    return rejections(bands(scores(sampled(noise(basic(df, indic_prefixes)), by_size).drop("text"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import signals as s
-from quern.plans.registry import query, table
+from quern.plans.registry import SQL, query, table
 
 INDIC = ("bharat_",)
 
@@ -74,6 +74,8 @@ banded AS (SELECT *, {_case(tuple((f"band_p_{b} >= {s.LEAST_PROBABILITY}::DOUBLE
   {_case(tuple((c, f"'{n}'") for n, _, c in s.REJECTIONS), "''")} AS rejection_reason, {_case(tuple((c, str(k)) for _, k, c in s.REJECTIONS), "NULL")} AS rejection_level FROM n1)
 """
 ALL = f"WITH {BASIC}, {NOISE}, {SAMPLED}, {SCORES}, {BANDED} "
+#: The same with the signals of whole texts.
+WHOLE = ALL.replace(_SAMPLE, "text")
 
 
 def rounded(*names: str) -> list:
@@ -88,8 +90,9 @@ def documents(spark, folder):
     return table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
 
 
-def all_signals(spark, folder):
-    return s.banded(documents(spark, folder), INDIC)
+def all_signals(spark, folder, by_size=True):
+    """Sampled by size as the SQL of sig03 to sig12 and tok16 is; the queries named whole look at whole texts."""
+    return s.banded(documents(spark, folder), INDIC, by_size)
 
 
 @query("sig02_basic_stats", f"WITH {BASIC} SELECT doc_id, char_length, byte_length, word_count, line_count, token_count_estimate, round({_ratio('char_length', 'token_count_estimate', '1.0')}, 6) AS fertility_estimate FROM basic")
@@ -161,18 +164,45 @@ def rejected(spark, folder):
 
 
 @query("sig12_accepted", f"{ALL} SELECT doc_id, source, lang, band, round(difficulty_score, 6) AS difficulty_score, word_count, token_count_estimate FROM banded WHERE rejection_reason = ''")
-def accepted(spark, folder):
-    return s.where_computed(all_signals(spark, folder), "NOT is_rejected").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "lang", "band", *rounded("difficulty_score"), "word_count", "token_count_estimate")
+def accepted(spark, folder, by_size=True):
+    return s.where_computed(all_signals(spark, folder, by_size), "NOT is_rejected").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "lang", "band", *rounded("difficulty_score"), "word_count", "token_count_estimate")
 
 
 @query("tok16_distribution", f"""{ALL} SELECT source, lang, band, count(*) AS n_documents, sum(token_count_estimate)::BIGINT AS n_tokens, sum(word_count)::BIGINT AS n_words,
   round(avg(token_count_estimate), 6) AS mean_tokens, round(sum(token_count_estimate) / sum(sum(token_count_estimate)) OVER (PARTITION BY source), 6) AS share_of_source
   FROM banded WHERE rejection_reason = '' GROUP BY source, lang, band""")
-def distribution(spark, folder):
+def distribution(spark, folder, by_size=True):
     """Documents, tokens and words by source, language and band, and each group's share of its source."""
     from pyspark.sql import Window
 
-    groups = accepted(spark, folder).groupBy("source", "lang", "band").agg(
+    groups = accepted(spark, folder, by_size).groupBy("source", "lang", "band").agg(
         F.count("*").alias("n_documents"), F.sum("token_count_estimate").alias("n_tokens"), F.sum("word_count").alias("n_words"), F.round(F.avg("token_count_estimate"), 6).alias("mean_tokens"))
     # The window runs over the grouped rows, a few for each source.
     return groups.withColumn("share_of_source", F.round(F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy("source")), 6))
+
+
+@query("sig_whole", f"{WHOLE} SELECT doc_id, {_sql(RATIOS + WORDS + ('difficulty_score',) + PROBABILITIES)}, {', '.join(HITS + SCORE_NAMES)}, band, rejection_reason, rejection_level FROM banded")
+def whole_signals(spark, folder):
+    """sig03 to sig11 over whole texts: a row for each document, whatever its length."""
+    rows = all_signals(spark, folder, by_size=False)
+    return rows.select("doc_id", *rounded(*RATIOS, *WORDS, "difficulty_score", *PROBABILITIES), *HITS, *SCORE_NAMES, "band", "rejection_reason", "rejection_level")
+
+
+def _of_whole(name: str) -> str:
+    return SQL[name].replace(_SAMPLE, "text")
+
+
+@query("sig09_whole", _of_whole("sig09_bands"))
+def whole_band_counts(spark, folder):
+    return all_signals(spark, folder, by_size=False).groupBy("band", "lang").agg(F.count("*").alias("n_documents"))
+
+
+@query("sig12_whole", _of_whole("sig12_accepted"))
+def whole_accepted(spark, folder):
+    return accepted(spark, folder, by_size=False)
+
+
+@query("tok16_whole", _of_whole("tok16_distribution"))
+def whole_distribution(spark, folder):
+    """tok16 with the bands and rejections of whole texts."""
+    return distribution(spark, folder, by_size=False)

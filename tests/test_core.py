@@ -75,6 +75,16 @@ def test_band_probabilities_sum_to_one(spark):
         assert r["band"] == next((b for b in signals.BANDS[:-1] if r[f"band_p_{b}"] >= signals.LEAST_PROBABILITY), "B5")
 
 
+def test_signals_of_whole_texts(spark):
+    from quern.plans.registry import QUERIES
+
+    rows = [(1, "s", "plain words " * n + " theorem lemma therefore { } 12345 " + "other " * n) for n in (700, 3000, 9000)]
+    for r in banded(spark, rows).collect():
+        assert r["math_hits"] == 2 and r["reasoning_hits"] == 1 and r["digit_ratio"] > 0 and r["special_ratio"] > 0
+        assert abs(r["avg_word_length"] - 5) < 0.02
+    assert {"sig_whole", "sig09_whole", "sig12_whole", "tok16_whole"} <= set(QUERIES)
+
+
 def test_rejections(spark):
     rows = [(1, "s", "tiny"), (2, "s", "good words " * 30), (3, "s", "word " * 300)]
     found = {r["id"]: r["rejection_reason"] for r in banded(spark, rows).collect()}
