@@ -98,9 +98,9 @@ def clean(text: Column) -> Column:
     return text
 
 
-def is_valid(text: Column, least_characters: int = 20, least_letters: float = 0.35, least_words: int = 5) -> Column:
-    """Long enough, with enough letters and digits at its beginning and enough different words."""
-    head = F.substring(text, 1, MARK_HEAD)
+def is_valid(text: Column, least_characters: int = 20, least_letters: float = 0.35, least_words: int = 5, head_length: int | None = None) -> Column:
+    """Long enough, with enough letters and digits (``head_length``: in so many characters at its beginning) and enough different words."""
+    head = F.substring(text, 1, head_length) if head_length else text
     letters = F.length(head) - F.length(F.regexp_replace(head, r"[\p{L}\p{N}]", ""))
     words = F.size(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != "")))
     return (F.length(text) >= least_characters) & (letters / F.length(head) >= least_letters) & (words >= least_words)

@@ -76,9 +76,9 @@ def modality(text: Column) -> dict[str, Column]:
 
 
 @register
-def script(text: Column) -> dict[str, Column]:
-    """Whether a script of India shows at the beginning."""
-    return {"is_indic": F.substring(text, 1, SCRIPT_HEAD).rlike("[ऀ-ൿ]")}
+def script(text: Column, head: int | None = None) -> dict[str, Column]:
+    """Whether a script of India shows anywhere; ``head``: in so many characters at the beginning."""
+    return {"is_indic": (F.substring(text, 1, head) if head else text).rlike("[ऀ-ൿ]")}
 
 
 @register

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import arrow
 from quern.functions import cleaning as c
-from quern.plans.registry import query, table
+from quern.plans.registry import SQL, query, table
 
 _Q = str.maketrans({"'": "''"})
 #: RE2 knows \x{..} but neither \x0B-style classes nor \z apart from its own; the same patterns in its syntax.
@@ -129,6 +129,12 @@ _HEAD = f"substr({_TEXT}, 1, {c.MARK_HEAD})"
 @query("cln16_valid", f"""SELECT lang, count(*) FILTER (length({_TEXT}) >= 20 AND ({_removed(_HEAD, "[" + chr(92) + "p{L}" + chr(92) + "p{N}]")}) / length({_HEAD})::DOUBLE >= 0.35
   AND len(list_distinct(list_filter(regexp_split_to_array({_TEXT}, '{chr(92)}s+'), lambda w: w <> ''))) >= 5) AS n_valid, count(*) AS n_documents FROM documents GROUP BY lang""")
 def valid(spark, folder):
+    return _text(spark, folder).groupBy("lang").agg(F.count_if(c.is_valid(F.col("text"), head_length=c.MARK_HEAD)).alias("n_valid"), F.count("*").alias("n_documents"))
+
+
+@query("cln16_whole", SQL["cln16_valid"].replace(_HEAD, _TEXT))
+def valid_whole(spark, folder):
+    """cln16 with the share of letters of the whole text, as in cln_full."""
     return _text(spark, folder).groupBy("lang").agg(F.count_if(c.is_valid(F.col("text"))).alias("n_valid"), F.count("*").alias("n_documents"))
 
 

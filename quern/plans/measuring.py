@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import arrow
 from quern.functions import measures as m
-from quern.plans.registry import query, table
+from quern.plans.registry import SQL, query, table
 
 _T = "coalesce(text, '')"
 _W = f"regexp_extract_all(lower({_T}), '[\\p{{L}}\\p{{N}}_'']+')"
@@ -37,8 +37,17 @@ def rare_words(spark, folder):
 @query("met03_character_entropy", f"WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(substr({_T}, 1, {m.ENTROPY_HEAD}), '')) AS ch FROM documents) GROUP BY ALL) SELECT doc_id, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 4) AS entropy FROM c WHERE ch <> '' GROUP BY doc_id")
 def character_entropy(spark, folder):
     """Natural-log entropy of the first characters (the measure's sampled length)."""
-    head = F.substring(F.coalesce("text", F.lit("")), 1, m.ENTROPY_HEAD)
-    c = documents(spark, folder).select("doc_id", F.explode(F.split(head, "")).alias("ch")).where("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
+    return _character_entropy(spark, folder, F.substring(F.coalesce("text", F.lit("")), 1, m.ENTROPY_HEAD))
+
+
+@query("met03_whole", SQL["met03_character_entropy"].replace(f"substr({_T}, 1, {m.ENTROPY_HEAD})", _T))
+def character_entropy_whole(spark, folder):
+    """Natural-log entropy of all characters."""
+    return _character_entropy(spark, folder, F.coalesce("text", F.lit("")))
+
+
+def _character_entropy(spark, folder, text):
+    c = documents(spark, folder).select("doc_id", F.explode(F.split(text, "")).alias("ch")).where("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
     return c.groupBy("doc_id").agg(F.round(F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n"), 4).alias("entropy"))
 
 
@@ -69,6 +78,12 @@ def rejection(spark, folder):
 
 @query("met10_scripts", f"SELECT doc_id, regexp_matches(substr({_T}, 1, {m.SCRIPT_HEAD}), '[ऀ-ൿ]') AS is_indic FROM documents")
 def indic(spark, folder):
+    return documents(spark, folder).select("doc_id", m.script(F.coalesce("text", F.lit("")), m.SCRIPT_HEAD)["is_indic"].alias("is_indic"))
+
+
+@query("met10_whole", SQL["met10_scripts"].replace(f"substr({_T}, 1, {m.SCRIPT_HEAD})", _T))
+def indic_whole(spark, folder):
+    """Whether a script of India shows anywhere in the text."""
     return measured(spark, folder, "script").select("doc_id", "is_indic")
 
 

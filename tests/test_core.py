@@ -54,6 +54,16 @@ def test_validity(spark):
     assert not one(spark, "", cleaning.is_valid(F.col("text")))
 
 
+def test_validity_of_whole_texts(spark):
+    good, bad = " ".join(f"word{i}" for i in range(300)) + " ", "~!@#$%^&* " * 2000
+    assert not one(spark, good + bad, cleaning.is_valid(F.col("text"))) and one(spark, bad[:2100] + good * 6, cleaning.is_valid(F.col("text")))
+
+
+def test_script_of_whole_texts(spark):
+    found = measures.measured(spark.createDataFrame([("Latin header. " * 60 + "यह हिन्दी है",)], "text string"), ["script"]).first()
+    assert found["is_indic"]
+
+
 def test_arrow_functions(spark):
     row = spark.createDataFrame([("é &amp; x",), (None,), ("",)], "text string").select(arrow.composed("text").alias("c"), arrow.unescaped("text").alias("u"), arrow.compression("text").alias("z")).collect()
     assert row[0]["c"] == "é &amp; x" and row[0]["u"] == "é & x" and row[1]["c"] is None and row[2]["z"] is None
