@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.checkpoints import written
+from quern.operators.hot import blocked_pairs
 from quern.operators.signatures import word_grams, words
 
 PRIME = 2**31 - 1
 BAND_COUNT, BAND_ROWS = 16, 4
-#: A bucket with more classes is split by the other bands, so that chance collisions don't make pairs.
+#: A bucket with more classes is paired in blocks of about so many.
 HOT_BUCKET = 100
 
 
@@ -55,10 +56,10 @@ def similar_classes(documents: DataFrame, key: str, text: str, least: float = 0.
     counts = by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(by_key.join(counts, "key"), "class_buckets")
     usual = shared.where(F.col("n") <= HOT_BUCKET).select("key", "class")
-    # Members of a hot bucket must agree in a second band: similar ones do, and chance collisions fall apart.
-    hot = shared.where(F.col("n") > HOT_BUCKET).select("key", "class").join(classes.select("class", "keys"), "class")
-    hot = hot.select("class", "key", F.explode("keys").alias("other")).where("key != other").select(F.xxhash64("key", "other").alias("key"), "class")
-    pairs = _pairs(usual).union(_pairs(hot)).distinct()
+    # Members of a hot bucket meet block by block; sets of too different sizes can't be similar enough.
+    hot = shared.where(F.col("n") > HOT_BUCKET).join(classes.select("class", F.size("grams").alias("size")), "class")
+    paired = blocked_pairs(hot, "class", "size", HOT_BUCKET).where(F.least("va", "vb") / F.greatest("va", "vb") >= least)
+    pairs = _pairs(usual).union(paired.select("a", "b")).distinct()
     sets = classes.select("class", "grams")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))

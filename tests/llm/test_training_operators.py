@@ -240,6 +240,24 @@ def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     assert linked.count() == 12 * 11 // 2
 
 
+def test_one_collision_in_a_hot_bucket_is_enough(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_BUCKET", 2)
+    width, kept = neardup.WIDTH, [set(m) for m in neardup.masks()]
+    differing = next(set(d) for d in itertools.combinations(range(width), neardup.RADIUS) if sum(not m & set(d) for m in kept) == 1)
+    # Contents 1, 3 and 4 are equal in the first sketch, 2 differs there in RADIUS symbols; all agree in two symbols of each other sketch.
+    rows = [(c, [-c if c == 2 and i in differing else 7 for i in range(width)] + [7 if i % width < 2 else 100 * c + i for i in range(width * neardup.SKETCHES)]) for c in (1, 2, 3, 4)]
+    found = neardup.candidates(spark.createDataFrame(rows, "content long, sketch array<int>"), 4)
+    assert rows_of(found) == list(itertools.combinations((1, 2, 3, 4), 2))
+
+
+def test_sketches_miss_as_few_as_documented():
+    kept = [set(m) for m in neardup.masks()]
+    found = 0.0
+    for n in range(neardup.WIDTH + 1):
+        found += sum(any(not m & set(d) for m in kept) for d in itertools.combinations(range(neardup.WIDTH), n)) * 0.6 ** (neardup.WIDTH - n) * 0.4**n
+    assert (1 - found) ** neardup.SKETCHES < 0.001
+
+
 def test_every_small_difference_is_covered():
     kept = [set(m) for m in neardup.masks()]
     for n in range(neardup.RADIUS + 1):

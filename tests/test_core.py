@@ -1,5 +1,6 @@
 """Core operators on literal tables, and invariants of the pipelines."""
 
+import itertools
 import json
 import os
 import random
@@ -178,6 +179,15 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch):
     assert linked.count() == 12 * 11 // 2
 
 
+def test_blocks_of_a_hot_bucket_make_every_pair(spark):
+    from quern.operators.hot import blocked_pairs
+
+    rows = [("k", 50, i, 10 * i) for i in range(50)] + [("m", 3, i, 10 * i) for i in range(50, 53)]
+    found = blocked_pairs(spark.createDataFrame(rows, "key string, n long, item long, value long"), "item", "value", 4).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == sorted([*itertools.combinations(range(50), 2), *itertools.combinations(range(50, 53), 2)])
+    assert all(r["va"] == 10 * r["a"] and r["vb"] == 10 * r["b"] for r in found)
+
+
 def test_survivors_match_the_loop(spark):
     rng = random.Random(6)
     n = 60
