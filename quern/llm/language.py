@@ -225,8 +225,9 @@ def joined_runs(best: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, stops, best
 
 
-def passages(texts: list[str], words_of: WordRows) -> list[tuple[int, int, int, int, float]]:
-    """``(text, first word, words, language, confidence)`` of every run of words of one language, in order."""
+def passages(texts: list[str], words_of: WordRows, whole: bool = False) -> list[tuple[int, int | None, int, int, float]]:
+    """``(text, first word, words, language, confidence)`` of every run of words of one language, in order; ``whole``: after
+    these, of every whole text with words, without a first word."""
     split = [t.split() if t else [] for t in texts]
     sizes = np.array([len(x) for x in split])
     if not sizes.sum() or not words_of.classifier.languages:
@@ -240,11 +241,18 @@ def passages(texts: list[str], words_of: WordRows) -> list[tuple[int, int, int,
     best = words_of.classifier.logits(sums[high] - sums[low]).argmax(1)
     starts, stops, best = joined_runs(best, text)
     confidence = words_of.classifier.probabilities(sums[stops] - sums[starts])[np.arange(len(starts)), best[starts]]
-    return list(zip(text[starts].tolist(), (starts - (ends - sizes)[text[starts]]).tolist(), (stops - starts).tolist(), best[starts].tolist(), confidence.tolist()))
+    found = list(zip(text[starts].tolist(), (starts - (ends - sizes)[text[starts]]).tolist(), (stops - starts).tolist(), best[starts].tolist(), confidence.tolist()))
+    if whole:
+        full = np.flatnonzero(sizes)
+        p = words_of.classifier.probabilities(sums[ends[full]] - sums[(ends - sizes)[full]])
+        found += zip(full.tolist(), [None] * len(full), sizes[full].tolist(), p.argmax(1).tolist(), p.max(1).tolist())
+    return found
 
 
-def languages(documents: DataFrame, classifier: Classifier, least_words: int = 20, id_column: str = "id", text_column: str = "text") -> DataFrame:
+def languages(documents: DataFrame, classifier: Classifier, least_words: int = 20, id_column: str = "id", text_column: str = "text", whole: bool = False) -> DataFrame:
     """``id, first_word, n_words, lang_code, confidence``: every passage of at least ``least_words`` words in one language.
+    ``whole``: with ``record_code, record_confidence`` of the whole text, and a row without first_word for each text that has
+    words, however few, but no passage.
 
     Null and empty texts, and texts with fewer words, have no passage. Rows sent again give their passages again; rows
     without id are no records.
@@ -253,25 +261,37 @@ def languages(documents: DataFrame, classifier: Classifier, least_words: int = 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words_of = WordRows(known.value)
-        names = known.value.languages
+        names, columns = known.value.languages, ["id", "first_word", "n_words", "lang_code", "confidence"]
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 ids = part.iloc[:, 0].tolist()
-                rows = [(ids[t], first, n, names[k], c) for t, first, n, k, c in passages(part.iloc[:, 1].tolist(), words_of) if n >= least_words]
-                yield pd.DataFrame(rows, columns=["id", "first_word", "n_words", "lang_code", "confidence"])
+                rows = passages(part.iloc[:, 1].tolist(), words_of, whole)
+                made = [(ids[t], first, n, names[k], c, t) for t, first, n, k, c in rows if first is not None and n >= least_words]
+                if whole:
+                    record, some = {t: (n, names[k], c) for t, first, n, k, c in rows if first is None}, {r[-1] for r in made}
+                    made += [(ids[t], None, n, name, c, t) for t, (n, name, c) in record.items() if t not in some]
+                    made = [(*r[:-1], *record[r[-1]][1:]) for r in made]
+                    yield pd.DataFrame(made, columns=[*columns, "record_code", "record_confidence"]).astype({"first_word": "Int32"})
+                else:
+                    yield pd.DataFrame([r[:-1] for r in made], columns=columns)
 
     rows = documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("string"), text_column)
-    return rows.mapInPandas(run, "id string, first_word int, n_words int, lang_code string, confidence double")
+    return rows.mapInPandas(run, "id string, first_word int, n_words int, lang_code string, confidence double" + (", record_code string, record_confidence double" if whole else ""))
 
 
 def label_check(documents: DataFrame, language_labels: DataFrame, found: DataFrame, id_column: str = "id", label_column: str = "language") -> DataFrame:
     """``id, lang_code, confidence, n_words, label_code, n_languages, is_case``: a row for each language of a record.
 
     is_case: the label names no language, or another one than the record's only language, or the record has several.
+    If found is of whole texts too, also ``record_code, record_confidence``; a record without a passage then has n_languages 0,
+    and its label is judged by its whole text.
     """
-    per_language = found.groupBy("id", "lang_code").agg(F.max("confidence").alias("confidence"), F.max("n_words").alias("n_words"))
-    counts = per_language.groupBy("id").agg(F.count("*").alias("n_languages"))
+    more = [F.count("first_word").alias("n_passages"), F.max(F.struct("record_confidence", "record_code")).alias("record")] if "record_code" in found.columns else []
+    per_language = found.groupBy("id", "lang_code").agg(F.max("confidence").alias("confidence"), F.max("n_words").alias("n_words"), *more)
+    counts = per_language.groupBy("id").agg((F.count_if(F.col("n_passages") > 0) if more else F.count("*")).alias("n_languages"))
+    if more:
+        per_language = per_language.select("id", "lang_code", "confidence", "n_words", "record.record_code", "record.record_confidence")
     labels = documents.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("string").alias("id")).agg(F.max(label_column).alias("label_text"))
     labels = labels.join(F.broadcast(language_labels.select("label_text", F.col("lang_code").alias("label_code"))), "label_text", "left").drop("label_text")
     rows = per_language.join(counts, "id").join(labels, "id")

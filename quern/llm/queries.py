@@ -39,9 +39,9 @@ def p3_rank_check(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.rank_check(points, percentiles.group_percentiles(points).where("scope = 'all'"))
 
 
-def _passages(spark: SparkSession, folder: str) -> DataFrame:
+def _passages(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     documents = table(spark, folder, "normalized_documents")
-    return language.languages(documents, language.fit(documents, table(spark, folder, "language_labels")))
+    return language.languages(documents, language.fit(documents, table(spark, folder, "language_labels")), whole=whole)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,8 +52,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with words: its languages, or that of the whole text if it has no passage, against its label."""
     documents = table(spark, folder, "normalized_documents")
-    return language.label_check(documents, table(spark, folder, "language_labels"), _passages(spark, folder))
+    return language.label_check(documents, table(spark, folder, "language_labels"), _passages(spark, folder, whole=True))
 
 
 def p4_passages(spark: SparkSession, folder: str) -> DataFrame:

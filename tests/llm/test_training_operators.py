@@ -171,6 +171,18 @@ def test_languages_labels_and_passages(spark):
     assert {r["id"] for r in found.collect()}.isdisjoint({"short", "null", "empty"})
 
 
+def test_every_record_with_words_has_a_language(spark):
+    rows = corpus() + [("few", "das haus und wasser", "en"), ("turns", " ".join(speech(x, 14, i) for i, x in enumerate(["en", "de", "es"])), None)]
+    table = spark.createDataFrame(rows, "id string, text string, language string")
+    labels = spark.createDataFrame([(x, x) for x in WORDS], "label_text string, lang_code string")
+    found = language.languages(table, language.fit(table, labels), whole=True)
+    checked = {(r["id"], r["lang_code"]): r for r in language.label_check(table, labels, found).collect()}
+    assert {i for i, _ in checked} == {i for i, t, _ in rows if i and t and t.split()}
+    assert checked["few", "de"]["is_case"] and checked["few", "de"]["n_languages"] == 0 and checked["short", "en"]["n_words"] == 2
+    assert checked["mixed", "es"]["record_code"] == "en" and all(0 <= r["record_confidence"] <= 1 for r in checked.values())
+    assert sum(i == "turns" for i, _ in checked) == 1
+
+
 def test_held_out_accuracy_and_calibration():
     trained = language.train([(t, x) for i, t, x in corpus()[:120]])
     words = language.WordRows(trained)
