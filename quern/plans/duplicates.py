@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.checkpoints import written
 from quern.operators import signatures as g
 from quern.operators.similar import similar_classes, similar_documents, survivors
 from quern.plans.registry import query, table
@@ -88,6 +89,42 @@ def estimates(spark, folder):
     return s.join(F.broadcast(first)).select("item_id", F.round(g.agreement(F.col("signature"), F.col("fs")), 6).alias("similarity"))
 
 
+@query("ded06_documents")
+def document_minhashes(spark, folder):
+    """MinHash signature of every document. No SQL: it would take minutes."""
+    return g.minhash(documents(spark, folder), "doc_id", g.word_grams(g.words(F.col("text")), 3))
+
+
+def candidate_pairs(spark, folder):
+    """``doc_a < doc_b``: the first documents of linked classes."""
+    members, linked = similar_classes(documents(spark, folder), "doc_id", "text")
+    heads = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    a, b = heads.select(F.col("class").alias("class_a"), F.col("doc_id").alias("x")), heads.select(F.col("class").alias("class_b"), F.col("doc_id").alias("y"))
+    return written(linked.join(a, "class_a").join(b, "class_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")), "candidate_pairs")
+
+
+def _of_pairs(spark, folder, signature, name, value):
+    """The pairs with a value of both documents' signatures; only documents of a pair are signed."""
+    pairs = candidate_pairs(spark, folder)
+    of_pairs = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+    signed = written(signature(documents(spark, folder).join(of_pairs, "doc_id", "left_semi")), "signed")
+    column = signed.columns[1]
+    a, b = signed.select(F.col("doc_id").alias("doc_a"), F.col(column).alias("sa")), signed.select(F.col("doc_id").alias("doc_b"), F.col(column).alias("sb"))
+    return pairs.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", value(F.col("sa"), F.col("sb")).alias(name))
+
+
+@query("ded05_documents")
+def document_distances(spark, folder):
+    """Hamming distance of the SimHashes of candidate pairs."""
+    return _of_pairs(spark, folder, lambda d: g.simhash(d, "doc_id", g.words(F.col("text"))), "distance", g.hamming)
+
+
+@query("ded07_documents")
+def document_estimates(spark, folder):
+    """Similarity of candidate pairs as their MinHash signatures estimate it."""
+    return _of_pairs(spark, folder, lambda d: g.minhash(d, "doc_id", g.word_grams(g.words(F.col("text")), 3)), "similarity", lambda a, b: F.round(g.agreement(a, b), 6))
+
+
 @query("ded08_similar_documents")
 def similar(spark, folder):
     """One row for each document: its class of equal texts and the links of the class (five-word sequences, similarity 0.8)."""

@@ -188,6 +188,37 @@ def test_blocks_of_a_hot_bucket_make_every_pair(spark):
     assert all(r["va"] == 10 * r["a"] and r["vb"] == 10 * r["b"] for r in found)
 
 
+def test_document_signatures_match_brute_force(spark, tmp_path):
+    import hashlib
+
+    from quern.plans.registry import QUERIES
+
+    rng = random.Random(3)
+    texts = {}
+    for k in range(6):
+        base = [f"w{rng.randrange(200)}" for _ in range(80)]
+        texts |= {2 * k: " ".join(base), 2 * k + 1: " ".join(base[:40] + ["new"] + base[40:])}
+    rows = [(i, "en", "s", "B0", t) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, band string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def minhash(text):
+        w = text.split()
+        hashes = [int(hashlib.md5(" ".join(w[i : i + 3]).encode()).hexdigest()[24:], 16) for i in range(len(w) - 2)]
+        return [min((h + i) % 2**32 for h in hashes) for i in range(128)]
+
+    def simhash(text):
+        hashes = [int(hashlib.sha256(w.encode()).hexdigest()[48:], 16) for w in text.split()]
+        return sum(1 << b for b in range(64) if sum(1 if h >> b & 1 else -1 for h in hashes) >= 0)
+
+    folder = str(tmp_path)
+    assert {r["doc_id"]: r["signature"] for r in QUERIES["ded06_documents"](spark, folder).collect()} == {i: minhash(t) for i, t in texts.items()}
+    pairs = [(2 * k, 2 * k + 1) for k in range(6)]
+    distance = {(r["doc_a"], r["doc_b"]): r["distance"] for r in QUERIES["ded05_documents"](spark, folder).collect()}
+    assert distance == {(a, b): (simhash(texts[a]) ^ simhash(texts[b])).bit_count() for a, b in pairs}
+    found = {(r["doc_a"], r["doc_b"]): r["similarity"] for r in QUERIES["ded07_documents"](spark, folder).collect()}
+    assert found == {(a, b): round(sum(x == y for x, y in zip(minhash(texts[a]), minhash(texts[b]))) / 128, 6) for a, b in pairs}
+
+
 def test_survivors_match_the_loop(spark):
     rng = random.Random(6)
     n = 60
