@@ -134,6 +134,12 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return _subjects(spark, folder).select("doc_id", "subject")
 
 
+def p10_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """The topics found in each language, their top terms, and the subject to which each was mapped."""
+    documents = table(spark, folder, "documents")
+    return subjects.inspected(documents, subjects.fit(documents, table(spark, folder, "subjects"), table(spark, folder, "subject_labels")))
+
+
 def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and mean share of units by subject."""
     return _subjects(spark, folder).groupBy("subject").agg(F.count("*").alias("n_documents"), F.avg("share").alias("mean_share"))
