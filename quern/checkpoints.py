@@ -1,7 +1,8 @@
 """Cutting lineage through tables in a folder that all executors share.
 
-The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-(tests, a laptop) a temporary folder is made and entered in the session, so that one session has one folder.
+The folder is a subfolder, for this application, of the one that the cluster names in ``spark.checkpoint.dir``. Only where that
+is unset and driver and executors are one process (tests, a laptop) a temporary folder is made and entered in the session, so
+that one session has one folder; on a cluster it is an error, as a folder of one machine isn't seen by the others.
 Unlike ``localCheckpoint`` the written table survives the loss of executors.
 """
 
@@ -17,12 +18,18 @@ OWN_KEY = "quern.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder, as a URI or path."""
-    folder = spark.sparkContext.getConf().get(KEY) or spark.conf.get(OWN_KEY, None)
+    """The application's own part of the shared folder, as a URI or path."""
+    context = spark.sparkContext
+    named = context.getConf().get(KEY)
+    if named:
+        return f"{named.rstrip('/')}/quern-{context.applicationId}"
+    folder = spark.conf.get(OWN_KEY, None)
     if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError(f"{KEY} is not set: name a folder there that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set(OWN_KEY, folder)
-    return folder.rstrip("/")
+    return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +41,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes every table written by this application; call it when no result is read any more."""
+    """Deletes the tables that this application has written, and nothing else of the shared folder; call it when no result is
+    read any more."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
