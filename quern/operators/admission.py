@@ -20,7 +20,8 @@ def skip_fit(df: DataFrame, group: str, order: str, tie: str, size: str, capacit
 
     In rounds: the rows before the first that doesn't fit are taken at once by running totals, what is larger than the room
     left can never be taken, and the rest goes to the next round with less room. Room falls fast, so rounds are few; the
-    groups' room is a small table. Null sizes count as 0; rows of a group without capacity are left out.
+    groups' room is a small table. Null sizes count as 0; rows of a group without capacity are left out. A tie value must be
+    unique in its group.
     """
     spark = df.sparkSession
     rest = written(df.select(group, order, tie, F.coalesce(size, F.lit(0)).cast("long").alias("_size"), F.col(capacity).cast("long").alias("_room")).where("_room IS NOT NULL"), "skip_fit")
@@ -30,13 +31,14 @@ def skip_fit(df: DataFrame, group: str, order: str, tie: str, size: str, capacit
         placed = written(with_total_before(fitting, [group], order, tie, "_size"), "skip_fit_placed")
         now = placed.where(F.col("before") + F.col("_size") <= F.col("_room"))
         # Only the rows before the first that overflows are sure: a later one may fit exactly because that one is skipped.
-        over = placed.where(F.col("before") + F.col("_size") > F.col("_room")).groupBy(group).agg(F.min("before").alias("_stop"))
-        sure = written(now.join(over, now[group].eqNullSafe(over[group]), "left").drop(over[group]).where(F.col("_stop").isNull() | (F.col("before") < F.col("_stop")) | ((F.col("before") == F.col("_stop")) & (F.col("_size") == 0))), "skip_fit_taken")
+        over = placed.where(F.col("before") + F.col("_size") > F.col("_room")).groupBy(F.col(group).alias("_h")).agg(F.min("before").alias("_stop"))
+        sure = written(now.join(over, now[group].eqNullSafe(F.col("_h")), "left").drop("_h").where(F.col("_stop").isNull() | (F.col("before") < F.col("_stop")) | ((F.col("before") == F.col("_stop")) & (F.col("_size") == 0))), "skip_fit_taken")
         used = sure.groupBy(group).agg(F.sum("_size").alias("_used"), F.count("*").alias("_n"))
         if used.isEmpty():
             break
         taken.append(sure.select(group, tie))
-        left = placed.join(sure.select(F.col(tie).alias("_t")), placed[tie] == F.col("_t"), "left_anti").drop("before")
+        done = sure.select(F.col(group).alias("_g"), F.col(tie).alias("_t"))
+        left = placed.join(done, placed[group].eqNullSafe(F.col("_g")) & placed[tie].eqNullSafe(F.col("_t")), "left_anti").drop("before")
         used = used.select(F.col(group).alias("_g"), "_used")
         rest = written(left.join(used, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("_room", F.col("_room") - F.coalesce("_used", F.lit(0))).drop("_g", "_used"), "skip_fit")
         if rest.isEmpty():

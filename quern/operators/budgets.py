@@ -1,8 +1,8 @@
 """Taking rows of groups up to a budget, without sorting a group in one task.
 
 A group's rows have an order (a score, then an id). The running total before a row decides whether it is taken. Groups may
-hold a third of all rows, so totals are built in two levels: rows fall into ranges of the order, totals of ranges are small
-and get running sums, and only rows within one range are sorted together.
+hold a third of all rows, so totals are built in two levels: all rows are cut into ranges of the total order of group, order
+and id, the ranges' totals are small and get running sums, and only rows within one range are sorted together.
 """
 
 from __future__ import annotations
@@ -12,34 +12,27 @@ from pyspark.sql import functions as F
 
 from quern.checkpoints import written
 
-RANGES = 1024
 
-
-def with_total_before(df: DataFrame, groups: list[str], order: str, tie: str, size: str, descending: bool = True, ranges: int = RANGES) -> DataFrame:
+def with_total_before(df: DataFrame, groups: list[str], order: str, tie: str, size: str, descending: bool = True, ranges: int | None = None) -> DataFrame:
     """Adds ``before``: the sum of ``size`` over the rows of the group that come earlier by ``order`` and then ``tie`` (both in the
-    same direction). Null sizes count as 0; null orders come last.
+    same direction). Null sizes count as 0; null orders come last, null groups are one group.
 
-    The ranges divide each group's values evenly between its least and greatest; a range with many equal values is divided
-    once more by a hash-free comparison of ties, as all its rows have the same order.
+    The ranges (as many as shuffle partitions, unless given) are cut at sampled places of the order, the tie included, so that
+    they hold about equally many rows whatever the values' distribution: one outlier, a single value for all rows or one group
+    with most rows make no range longer. A range's start is a row of its own in the running sum, so nothing is joined.
     """
+    spark = df.sparkSession
     direction = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_last())
-    spans = df.groupBy(*groups).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    spans = spans.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), "_low", "_high")
-    same = None
-    for i, g in enumerate(groups):
-        equal = F.col(g).eqNullSafe(F.col(f"_g{i}"))
-        same = equal if same is None else same & equal
-    wide = F.col("_high") > F.col("_low")
-    cut = F.when(F.col(order).isNull(), F.lit(-1)).when(wide, F.floor((F.col(order).cast("double") - F.col("_low")) / (F.col("_high") - F.col("_low")) * ranges)).otherwise(F.lit(0))
-    ranged = df.join(spans, same).withColumn("_range", (cut if descending else F.when(F.col(order).isNull(), F.lit(ranges + 1)).otherwise(cut)).cast("long")).drop("_low", "_high", *(f"_g{i}" for i in range(len(groups))))
+    number = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(number, *groups, direction(order), direction(tie)).withColumn("_cut", F.spark_partition_id())
     ranged = written(ranged, "ranged")
-    totals = ranged.groupBy(*groups, "_range").agg(F.sum(F.coalesce(size, F.lit(0))).alias("_total"))
-    first = Window.partitionBy(*groups).orderBy(F.desc("_range") if descending else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_range").alias("_r"), F.coalesce(F.sum("_total").over(first), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy(*groups, "_range").orderBy(direction(order), direction(tie)).rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranged.withColumn("_inner", F.coalesce(F.sum(F.coalesce(size, F.lit(0))).over(inner), F.lit(0)))
-    joined = rows.join(starts, same & (F.col("_range") == F.col("_r")))
-    return joined.withColumn("before", F.col("_start") + F.col("_inner")).drop("_range", "_r", "_inner", "_start", *(f"_g{i}" for i in range(len(groups))))
+    totals = ranged.groupBy(*groups, "_cut").agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("_sum"))
+    earlier = Window.partitionBy(*groups).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*groups, "_cut", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_added"), F.lit(0).alias("_mark"))
+    rows = ranged.withColumns({"_added": F.coalesce(F.col(size), F.lit(0)), "_mark": F.lit(1)})
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    inner = Window.partitionBy(*groups, "_cut").orderBy("_mark", direction(order), direction(tie)).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("before", F.sum("_added").over(inner)).where("_mark = 1").drop("_cut", "_added", "_mark")
 
 
 def fill(df: DataFrame, groups: list[str], order: str, tie: str, size: str, target: str | Column) -> DataFrame:
