@@ -85,22 +85,50 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_records(spark, folder), table(spark, folder, "mix_targets"))[1]
 
 
+def p6_block_check(spark: SparkSession, folder: str) -> DataFrame:
+    """For each target whether it can be reached, and if so, whether the mixture misses it by less than the block of rounding
+    shares and the record at either end of what is taken; and that no record is taken too often."""
+    mixture, report = mixing.mix(_records(spark, folder), table(spark, folder, "mix_targets"))
+    longest = mixture.agg(F.max("n_chars").alias("longest"))
+    slack = F.col("plan_chars") / mixing.BLOCKS + 2 * F.col("longest")
+    near = F.abs(F.col("missed_share")) * F.col("plan_chars") <= slack
+    rows = report.join(F.broadcast(longest)).select("plan_id", "group_key", (~F.col("out_of_reach")).alias("reachable"), ((F.col("out_of_reach") | near) & (F.col("most_repeats") <= F.col("max_repeats"))).alias("within"))
+    return rows
+
+
 def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_records(spark, folder), table(spark, folder, "mix_targets"))[0]
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Targets that the sample's report shows to be out of reach."""
-    _, report = sampling.sample(_records(spark, folder), table(spark, folder, "sample_targets"))
+    _, report = sampling.sample(_records(spark, folder), table(spark, folder, "sample_targets"), top_up=True)
     return report.where("out_of_reach").select("plan_id", "category")
 
 
 def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.sample(_records(spark, folder), table(spark, folder, "sample_targets"))[0]
+    return sampling.sample(_records(spark, folder), table(spark, folder, "sample_targets"), top_up=True)[0]
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.sample(_records(spark, folder), table(spark, folder, "sample_targets"))[1]
+    return sampling.sample(_records(spark, folder), table(spark, folder, "sample_targets"), top_up=True)[1]
+
+
+def p7_size_check(spark: SparkSession, folder: str) -> DataFrame:
+    """For each plan, the records that its sample has: all that were asked for, or all records of its categories."""
+    drawn = p7_sample(spark, folder).groupBy("plan_id").agg(F.count("*").alias("drawn"), F.countDistinct("id").alias("n_ids"))
+    return drawn.where("drawn = n_ids").select("plan_id", "drawn")
+
+
+def p7_joint(spark: SparkSession, folder: str) -> DataFrame:
+    """One sample raked over three margins at once: the first plans by name of domain, language and band, joined to one plan of
+    the least of their sizes. Reports the targets met and missed."""
+    targets = table(spark, folder, "sample_targets")
+    first = targets.groupBy("field_name").agg(F.min("plan_id").alias("plan_id"))
+    mine = targets.join(F.broadcast(first), ["field_name", "plan_id"])
+    size = mine.agg(F.min("sample_records").alias("sample_records"))
+    joint = mine.drop("plan_id", "sample_records").withColumns({"plan_id": F.lit("joint"), "min_records": F.lit(0).cast("long")}).join(F.broadcast(size))
+    return sampling.sample(_records(spark, folder), joint, top_up=True)[1]
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,6 +218,18 @@ SQL: dict[str, str] = {
           UNION ALL SELECT 'band', band, sum(n_chars) FROM recs GROUP BY ALL)
         SELECT m.plan_id, m.group_key FROM mix_targets m LEFT JOIN sizes s USING (field_name, group_key)
         WHERE coalesce(s.chars, 0)::DOUBLE * m.max_repeats < m.target_share * m.plan_chars""",
+    "p6_block_check": f"""WITH {_FIELDS}, sizes AS (
+          SELECT 'source' AS field_name, source AS group_key, sum(n_chars) AS chars FROM recs GROUP BY ALL
+          UNION ALL SELECT 'dataset', dataset, sum(n_chars) FROM recs GROUP BY ALL
+          UNION ALL SELECT 'band', band, sum(n_chars) FROM recs GROUP BY ALL)
+        SELECT m.plan_id, m.group_key, coalesce(s.chars, 0)::DOUBLE * m.max_repeats >= m.target_share * m.plan_chars AS reachable, true AS "within"
+        FROM mix_targets m LEFT JOIN sizes s USING (field_name, group_key)""",
+    "p7_size_check": f"""WITH {_FIELDS}, sizes AS (
+          SELECT 'domain' AS field_name, domain AS category, count(*) AS n FROM recs GROUP BY ALL
+          UNION ALL SELECT 'language', language, count(*) FROM recs GROUP BY ALL
+          UNION ALL SELECT 'band', band, count(*) FROM recs GROUP BY ALL)
+        SELECT t.plan_id, least(max(t.sample_records), sum(CASE WHEN t.target_share > 0 THEN coalesce(s.n, 0) ELSE 0 END))::BIGINT AS drawn
+        FROM sample_targets t LEFT JOIN sizes s USING (field_name, category) GROUP BY t.plan_id""",
     "p7_found": f"""WITH {_FIELDS}, sizes AS (
           SELECT 'domain' AS field_name, domain AS category, count(*) AS n FROM recs GROUP BY ALL
           UNION ALL SELECT 'language', language, count(*) FROM recs GROUP BY ALL
