@@ -53,7 +53,10 @@ def grams(word: str) -> list[str]:
 
 class Classifier:
     """languages; place of each known n-gram; its weight by language (TF-IDF factor included); bias; temperature.
-    Of a piece of text: (bias + sum of its words' weights / norm of its TF-IDF counts) / temperature."""
+    Of a piece of text: (bias + sum of its words' weights / norm of its TF-IDF counts) / temperature.
+    calibration_error: of the held-out sentences, wrong labels among them included; None if there are none."""
+
+    calibration_error: float | None = None
 
     def __init__(self, languages: list[str], places: dict[str, int], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float):
         self.languages, self.places, self.idf, self.weights, self.bias, self.temperature = languages, places, idf, weights, bias, temperature
@@ -144,7 +147,8 @@ def train(texts: list[tuple[str, str]], seed: int = 4) -> Classifier:
     weights, bias = _follow_the_leader([rows[i] for i in use], y[use], kept, k, seed)
     p = softmax(scores(weights, bias, range(len(rows))))
     wrong = (p.argmax(1) != y) & (p.max(1) > 0.6)
-    use, test = np.flatnonzero(~held & ~wrong), np.flatnonzero(held & ~wrong)
+    # Sentences that the first fit finds wrongly labelled are no examples; held out, they count for the temperature as all others do.
+    use, test = np.flatnonzero(~held & ~wrong), np.flatnonzero(held)
     weights, bias = _follow_the_leader([rows[i] for i in use], y[use], kept, k, seed)
     temperature = 1.0
     if len(test):
@@ -152,7 +156,19 @@ def train(texts: list[tuple[str, str]], seed: int = 4) -> Classifier:
         tried = np.exp(np.linspace(-3, 2, 101))
         loss = [-np.log(softmax(found / t)[np.arange(len(test)), y[test]] + 1e-12).mean() for t in tried]
         temperature = float(tried[int(np.argmin(loss))])
-    return Classifier(languages, places, idf, weights, bias, temperature)
+    fitted = Classifier(languages, places, idf, weights, bias, temperature)
+    if len(test):
+        p = softmax(found / temperature)
+        fitted.calibration_error = calibration_error(p.max(1), p.argmax(1) == y[test])
+    return fitted
+
+
+def calibration_error(confidence: np.ndarray, right: np.ndarray, bins: int = 10) -> float:
+    """Mean distance of confidence and accuracy over equal bins of confidence, by number of cases."""
+    where = np.minimum((confidence * bins).astype(int), bins - 1)
+    n = np.bincount(where, minlength=bins)
+    gap = np.abs(np.bincount(where, weights=confidence, minlength=bins) - np.bincount(where, weights=right, minlength=bins))
+    return float(gap.sum() / max(1, n.sum()))
 
 
 def fit(documents: DataFrame, language_labels: DataFrame, id_column: str = "id", text_column: str = "text", label_column: str = "language", seed: int = 4) -> Classifier:

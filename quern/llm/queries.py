@@ -22,6 +22,10 @@ def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_types(table(spark, folder, "normalized_documents"), table(spark, folder, "common_words"))
 
 
+def p1_voters(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.voters(table(spark, folder, "normalized_documents"), table(spark, folder, "common_words"))
+
+
 def p2_totals(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_budget(table(spark, folder, "normalized_documents"), table(spark, folder, "tokenizer_pieces"), table(spark, folder, "language_labels"))
 
@@ -61,6 +65,12 @@ def p4_passages(spark: SparkSession, folder: str) -> DataFrame:
     return _passages(spark, folder).distinct()
 
 
+def p4_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """The classifier's temperature and the error of its confidence on held-out sentences."""
+    model = language.fit(table(spark, folder, "normalized_documents"), table(spark, folder, "language_labels"))
+    return spark.createDataFrame([(len(model.languages), len(model.places), model.temperature, model.calibration_error)], "n_languages int, n_grams int, temperature double, calibration_error double")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     members, linked = neardup.links(table(spark, folder, "normalized_documents"))
     return neardup.record_pairs(members, linked)
