@@ -28,11 +28,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def counted(items: Column) -> Column:
-    """How often each distinct item of an array occurs, as an array of counts: runs of the sorted array."""
-    ordered = F.array_sort(items)
-    last = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == F.size(ordered)) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-    return F.when(F.size(items) > 0, F.transform(last, lambda x, i: x - F.when(i > 0, F.get(last, i - 1)).otherwise(0))).otherwise(F.array().cast("array<int>"))
+def sum_over_counts(items: Column, value: Callable[[Column], Column]) -> Column:
+    """The sum of ``value`` of how often each distinct item of an array occurs: one pass over the sorted array, whose equal items
+    are runs. 0 for an empty array."""
+    start = F.struct(F.lit(None).cast("string").alias("item"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("sum"))
+    done = lambda a: a["sum"] + F.when(a["run"] > 0, value(a["run"]).cast("double")).otherwise(0.0)
+    step = lambda a, x: F.when(a["item"] == x, F.struct(x.alias("item"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(x.alias("item"), F.lit(1).cast("long").alias("run"), done(a).alias("sum")))
+    return F.aggregate(F.array_sort(items), start, step, done)
 
 
 @register

@@ -29,9 +29,9 @@ def length(spark, folder):
 @query("met02_rare_words", f"WITH {_D}, x AS (SELECT doc_id, unnest(w) AS word FROM d), c AS (SELECT doc_id, word, count(*) AS n FROM x GROUP BY ALL) SELECT doc_id, sum(n)::BIGINT AS n_words, count(*) FILTER (n = 1) AS n_rare, round(sum(n * log2(n)), 4) AS n_log_n FROM c GROUP BY doc_id")
 def rare_words(spark, folder):
     """Words by document, those that occur once, and the sum from which their entropy follows; counted within each document."""
-    d = documents(spark, folder).select("doc_id", m.words(F.coalesce("text", F.lit(""))).alias("w"))
-    c = d.select("doc_id", F.explode("w").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    return c.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.count_if(F.col("n") == 1).alias("n_rare"), F.round(F.sum(F.col("n") * F.log2("n")), 4).alias("n_log_n"))
+    d = documents(spark, folder).select("doc_id", m.words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0)
+    once, spread = m.sum_over_counts(F.col("w"), lambda n: F.when(n == 1, 1).otherwise(0)), m.sum_over_counts(F.col("w"), lambda n: n * F.log2(n))
+    return d.select("doc_id", F.size("w").cast("long").alias("n_words"), once.cast("long").alias("n_rare"), F.round(spread, 4).alias("n_log_n"))
 
 
 @query("met03_character_entropy", f"WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(substr({_T}, 1, {m.ENTROPY_HEAD}), '')) AS ch FROM documents) GROUP BY ALL) SELECT doc_id, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 4) AS entropy FROM c WHERE ch <> '' GROUP BY doc_id")
@@ -47,8 +47,8 @@ def character_entropy_whole(spark, folder):
 
 
 def _character_entropy(spark, folder, text):
-    c = documents(spark, folder).select("doc_id", F.explode(F.split(text, "")).alias("ch")).where("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    return c.groupBy("doc_id").agg(F.round(F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n"), 4).alias("entropy"))
+    c = documents(spark, folder).select("doc_id", F.filter(F.split(text, ""), lambda x: x != "").alias("c")).where(F.size("c") > 0)
+    return c.select("doc_id", F.round(F.log(F.size("c")) - m.sum_over_counts(F.col("c"), lambda n: n * F.log(n)) / F.size("c"), 4).alias("entropy"))
 
 
 @query("met04_readability", f"""WITH {_D}, s AS (SELECT doc_id, greatest(len(w), 1) AS n, greatest(len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda s: trim(s) <> '')), 1) AS n_sentences,
@@ -104,8 +104,8 @@ def bigram_entropy(spark, folder):
     """Entropy of pairs of neighbouring characters; an array of characters is cut once, so pairs cost no substring search."""
     d = documents(spark, folder).select("doc_id", F.split(F.coalesce("text", F.lit("")), "").alias("c")).select("doc_id", F.filter("c", lambda x: x != "").alias("c")).where(F.size("c") > 1)
     pairs = F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.concat(a, b))
-    c = d.select("doc_id", F.explode(pairs).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("n"))
-    return c.groupBy("doc_id").agg(F.round(F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n"), 4).alias("entropy"))
+    d = d.select("doc_id", pairs.alias("g"))
+    return d.select("doc_id", F.round(F.log2(F.size("g")) - m.sum_over_counts(F.col("g"), lambda n: n * F.log2(n)) / F.size("g"), 4).alias("entropy"))
 
 
 @query("met20_code_density", f"WITH {_D} SELECT doc_id, round(len(regexp_extract_all(t, '(?m)^\\s*(?:def |class |func |return |import )')) / len(string_split(t, chr(10)))::DOUBLE, 6) AS code_density FROM d")
