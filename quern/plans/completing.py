@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import formats
 from quern.functions import measures as m
+from quern.functions.signals import where_computed
 from quern.operators.budgets import with_total_before
 from quern.operators.extraction import extracted
 from quern.plans.choosing import _N, _TARGETS, BUDGET, SEED, docs, greedy_fill, policy, shuffled
@@ -270,13 +271,14 @@ def similar_items(spark, folder, least=0.8):
     def grams(rows, text):
         rows = rows.withColumn("w", F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), " "))
         pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.slice("w", i, 2))))
-        return rows.withColumn("g", F.when(F.size("w") > 1, pairs)).where("g IS NOT NULL").drop("w")
+        return rows.withColumn("g", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<bigint>"))).drop("w")
 
     items = grams(table(spark, folder, "eval_items").select("item_id", "question"), F.col("question")).select("item_id", F.col("g").alias("ig"))
-    spans = items.agg(F.min(F.size("ig")).alias("low"), F.max(F.size("ig")).alias("high")).first()
+    spans = items.agg(F.min(F.when(F.size("ig") > 0, F.size("ig"))).alias("low"), F.max(F.size("ig")).alias("high")).first()
     if spans["low"] is None:
         return items.select(F.lit(0).cast("long").alias("doc_id"), "item_id", F.lit(0.0).alias("similarity"))
-    rows = grams(table(spark, folder, "documents").select("doc_id", "text"), F.col("text")).select("doc_id", "g").where(F.size("g").between(int(least * spans["low"]), int(spans["high"] / least) + 1))
+    rows = grams(table(spark, folder, "documents").select("doc_id", "text"), F.col("text")).select("doc_id", "g")
+    rows = where_computed(rows, f"size(g) BETWEEN {int(least * spans['low'])} AND {int(spans['high'] / least) + 1}")
     shared = rows.select("doc_id", F.size("g").alias("n"), F.explode("g").alias("pair")).join(F.broadcast(items.select("item_id", F.size("ig").alias("k"), F.explode("ig").alias("pair"))), "pair")
     shared = shared.where((F.col("n") <= F.col("k") / least) & (F.col("k") <= F.col("n") / least))
     both = shared.groupBy("doc_id", "item_id", "n", "k").agg(F.count("*").alias("both"))
