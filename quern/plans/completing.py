@@ -259,9 +259,9 @@ def protected(spark, folder):
 # Layers of leakage, and words cut at a document's end
 
 _BIGRAMS = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
-_SIMILAR = f"""iw AS (SELECT item_id, regexp_split_to_array(trim(regexp_replace(lower(coalesce(question, '')), '\\s+', ' ', 'g')), ' ') AS ws FROM eval_items), dw AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(lower({_T}), '\\s+', ' ', 'g')), ' ') AS ws FROM documents),
-  ig AS (SELECT item_id, {_BIGRAMS} AS g FROM iw WHERE len(ws) > 1), dg AS (SELECT doc_id, {_BIGRAMS} AS g FROM dw WHERE len(ws) > 1),
-  similar_items AS (SELECT doc_id, item_id, len(list_intersect(d.g, i.g)) / (len(d.g) + len(i.g) - len(list_intersect(d.g, i.g)))::DOUBLE AS similarity FROM dg d JOIN ig i ON len(d.g) <= 1.25 * len(i.g) AND len(i.g) <= 1.25 * len(d.g))"""
+_SIMILAR = f"""siw AS (SELECT item_id, regexp_split_to_array(trim(regexp_replace(lower(coalesce(question, '')), '\\s+', ' ', 'g')), ' ') AS ws FROM eval_items), sdw AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(lower({_T}), '\\s+', ' ', 'g')), ' ') AS ws FROM documents),
+  sig AS (SELECT item_id, {_BIGRAMS} AS g FROM siw WHERE len(ws) > 1), sdg AS (SELECT doc_id, {_BIGRAMS} AS g FROM sdw WHERE len(ws) > 1),
+  similar_items AS (SELECT doc_id, item_id, len(list_intersect(d.g, i.g)) / (len(d.g) + len(i.g) - len(list_intersect(d.g, i.g)))::DOUBLE AS similarity FROM sdg d JOIN sig i ON len(d.g) <= 1.25 * len(i.g) AND len(i.g) <= 1.25 * len(d.g))"""
 
 
 def similar_items(spark, folder, least=0.8):
@@ -290,7 +290,7 @@ def dcn03(spark, folder):
     return similar_items(spark, folder).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("dcn05_layers", SQL["dcn05_strictest_layer"][: SQL["dcn05_strictest_layer"].index(", layers AS")].replace("WITH ", f"WITH {_SIMILAR.replace('iw AS', 'siw AS').replace('dw AS', 'sdw AS').replace('FROM iw', 'FROM siw').replace('FROM dw', 'FROM sdw')}, ", 1) + " SELECT doc_id, min(layer) AS layer FROM (SELECT doc_id, 'N-GRAM' AS name, 1 AS layer FROM shared UNION ALL SELECT doc_id, 'MINHASH', 2 FROM similar_items WHERE similarity >= 0.8) GROUP BY doc_id")
+@query("dcn05_layers", SQL["dcn05_strictest_layer"][: SQL["dcn05_strictest_layer"].index(", layers AS")].replace("WITH ", f"WITH {_SIMILAR}, ", 1) + " SELECT doc_id, min(layer) AS layer FROM (SELECT doc_id, 'N-GRAM' AS name, 1 AS layer FROM shared UNION ALL SELECT doc_id, 'MINHASH', 2 FROM similar_items WHERE similarity >= 0.8) GROUP BY doc_id")
 def layers(spark, folder):
     """The first layer that finds a document: sequences of an item's words, then an item with small changes."""
     found = shared_grams(spark, folder).select("doc_id", F.lit(1).alias("layer")).union(similar_items(spark, folder).select("doc_id", F.lit(2).alias("layer")))
