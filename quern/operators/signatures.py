@@ -19,8 +19,10 @@ def words(text: Column) -> Column:
 
 def word_grams(tokens: Column, n: int) -> Column:
     """Distinct sequences of n words; empty for a shorter text."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(F.size(tokens) >= n, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    starts = lambda t: F.sequence(F.lit(1), F.size(t) - (n - 1))
+    grams = lambda t: F.array_distinct(F.transform(starts(t), lambda i: F.array_join(F.slice(t, i, n), " ")))
+    # The words are bound to a variable: named within the inner function, they would be cut again for every sequence.
+    return F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= n, grams(t)).otherwise(F.array().cast("array<string>")))[0]
 
 
 def gram_hashes(tokens: Column, n: int) -> Column:
@@ -45,11 +47,21 @@ def hamming(a: Column, b: Column) -> Column:
 
 def minhash(df: DataFrame, key: str, grams: Column, permutations: int = PERMUTATIONS) -> DataFrame:
     """``key, signature``: least shifted hash of the sequences for each permutation (hash + i) mod 2^32.
-    A text without sequences has the greatest value everywhere."""
+    A text without sequences has the greatest value everywhere.
+
+    A shift by i takes the hashes of at least 2^32 - i round to 0 and leaves the order of the others, so the least hash and the
+    few that some shift takes round give all values: a text's sequences are hashed within its row and not shuffled. Hashes are
+    compared as their hexadecimal digits, which have the same order."""
     top = 2**SHIFT
-    hashed = df.select(key, F.explode_outer(grams).alias("g")).withColumn("h", F.conv(F.substring(F.md5("g"), 25, 8), 16, 10).cast("long"))
-    least = [F.coalesce(F.min((F.col("h") + i) % top), F.lit(top - 1)).alias(f"m{i}") for i in range(permutations)]
-    return hashed.groupBy(key).agg(*least).select(key, F.array(*(F.col(f"m{i}") for i in range(permutations))).alias("signature"))
+    digits = F.transform(grams, lambda g: F.substring(F.md5(g), 25, 8))
+    ends = F.transform(F.array(digits), lambda d: F.struct(F.array_min(d).alias("least"), F.array_distinct(F.filter(d, lambda h: h >= f"{top - permutations + 1:08x}")).alias("round")))[0]
+    rows = df.select(key, ends.alias("e")).groupBy(key).agg(F.min("e.least").alias("least"), F.flatten(F.collect_set("e.round")).alias("round"))
+    number = lambda h: F.conv(h, 16, 10).cast("long")
+    rows = rows.select(key, number(F.col("least")).alias("least"), F.transform("round", number).alias("round"))
+    least = lambda i: F.coalesce(F.array_min(F.filter("round", lambda h: h >= top - i)) - top, F.col("least")) + i
+    shifts = F.sequence(F.lit(0), F.lit(permutations - 1))
+    signature = F.when(F.size("round") > 0, F.transform(shifts, least)).otherwise(F.transform(shifts, lambda i: F.coalesce(F.col("least") + i, F.lit(top - 1))))
+    return rows.select(key, signature.alias("signature"))
 
 
 def agreement(a: Column, b: Column) -> Column:

@@ -219,6 +219,25 @@ def test_document_signatures_match_brute_force(spark, tmp_path):
     assert found == {(a, b): round(sum(x == y for x, y in zip(minhash(texts[a]), minhash(texts[b]))) / 128, 6) for a, b in pairs}
 
 
+def test_minhash_of_long_texts_repeated_keys_and_hashes_taken_round(spark):
+    import hashlib
+    import time
+
+    rng = random.Random(4)
+    # The hash of "a b x44273453" is 42 below 2^32, so that shifts from 42 on take it round.
+    rows = [(1, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20_000))), (2, "a b x44273453 and more of it"), (2, "another row of two"), (3, "a b x44273453"), (4, "two words"), (5, None), (None, "no key at all")]
+    hashes = {}
+    for key, text in rows:
+        w = (text or "").split()
+        hashes.setdefault(key, []).extend(int(hashlib.md5(" ".join(w[i : i + 3]).encode()).hexdigest()[24:], 16) for i in range(len(w) - 2))
+    start = time.monotonic()
+    found = {r["id"]: r["signature"] for r in signatures.minhash(spark.createDataFrame(rows, "id long, text string"), "id", signatures.word_grams(signatures.words(F.col("text")), 3)).collect()}
+    # Words cut again for each sequence take minutes for the first text.
+    assert time.monotonic() - start < 20
+    assert found == {k: [min(((x + i) % 2**32 for x in h), default=2**32 - 1) for i in range(128)] for k, h in hashes.items()}
+    assert found[3][41] == 2**32 - 1 and found[3][42] == 0
+
+
 def test_survivors_match_the_loop(spark):
     rng = random.Random(6)
     n = 60
