@@ -4,8 +4,9 @@ Texts are cut into units (sentences and lines) and words once; words become numb
 passes read small arrays. Each language and script has a vocabulary and topics of its own, as topics over all languages at
 once turn out to be languages. A document belongs to the language of most of its words, whatever its label says.
 
-1. Topics are found without labels. Their first fit is on a sample of at most about SAMPLE documents of a language, a task
-   each; then a round over all documents, one scan whose sums have a row for each word and topic, gives the topics.
+1. Topics are found without labels, from all documents. Which words stand together is a matrix of a language's words; its
+   principal directions come from PASSES scans over all documents, whose sums have a row for each word, and are rotated so that
+   each has few words (varimax). From there rounds of expectation-maximization over all documents give the topics.
 2. Topics are mapped by their top terms: each term is looked up in the labelled documents of its language (some of whose
    labels are wrong) and in the subjects' descriptions. A topic most of whose terms' evidence is for one subject is a topic
    of it; the others (phrases, forms, headings) are background. ``inspected`` shows terms, evidence and decision.
@@ -38,9 +39,11 @@ HEADING = re.compile(r"\s*(?:#{1,6}\s|==|\*\*[^*]*\*\*\s*$)")
 VOCABULARY, LEAST_DOCUMENTS = 8_000, 3
 #: A language with a smaller share of the corpus has no vocabulary of its own; its words are measured with others of its script.
 LEAST_LANGUAGE = 0.001
-#: Topics of a language, about so many documents of it for their first fit, and rounds of that fit.
-TOPICS, SAMPLE, SAMPLE_ROUNDS = 32, 1500, 25
-SPARSE, SMOOTH = 0.03, 0.004
+#: Topics of a language, directions followed for them, scans that find the directions, and rounds that fit the topics.
+TOPICS, DIRECTIONS, PASSES, TOPIC_ROUNDS = 32, 40, 3, 2
+#: A word starts in the topic in whose direction it is furthest, if it is so many times as far as the root mean square of words,
+#: or half as far as the furthest.
+STANDS_OUT = 2.0
 TOP_TERMS = 16
 #: A topic is one of a subject if its terms' evidence for it is so far on the way from an even share (0) to all (1). Each term
 #: has THIN documents of no evidence beside it; a word of a description counts as DESCRIBED labelled documents.
@@ -140,12 +143,6 @@ def sums(index: np.ndarray, values: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def bags(places: np.ndarray, document: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, place) and their counts."""
-    pairs, n = np.unique(document.astype(np.int64) * width + places, return_counts=True)
-    return pairs // width, pairs % width, n.astype(np.float32)
-
-
 def mixtures(document: np.ndarray, odds: np.ndarray, weight: np.ndarray, n: int, background: float, rounds: int = 3) -> np.ndarray:
     """Each document's proportions of the background and the topics. odds: frequency of the word in the background (1) and in
     each topic against its language; background: words that each document has of it beforehand, beside a tenth of one of each topic."""
@@ -160,64 +157,56 @@ def mixtures(document: np.ndarray, odds: np.ndarray, weight: np.ndarray, n: int,
     return mix
 
 
-def discover(documents: list[tuple[np.ndarray, np.ndarray]], seed: int, topics: int = TOPICS, rounds: int = SAMPLE_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Places, and the counts of each in each topic, by expectation-maximization of a latent Dirichlet model from a seeded
-    start; a further topic that isn't given back is the language itself. documents: places and counts of each."""
-    found = [x for x in documents if len(x[0])]
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, topics), dtype=np.float32)
-    document = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
-    everywhere = np.concatenate([p for p, _ in found])
-    n = np.concatenate([c for _, c in found]).astype(np.float32)
-    known, word, in_documents = np.unique(everywhere, return_inverse=True, return_counts=True)
-    # Words in few of the sampled documents tell nothing of them; the round over all documents has them again.
-    keep = (in_documents >= max(LEAST_DOCUMENTS, SMOOTH * len(found)))[word]
-    if not keep.any():
-        return np.zeros(0, dtype=np.int64), np.zeros((0, topics), dtype=np.float32)
-    document, n = np.unique(document[keep], return_inverse=True)[1], n[keep]
-    kept, word = np.unique(word[keep], return_inverse=True)
-    known = known[kept]
-    base = np.bincount(word, weights=n).astype(np.float32)
-    base /= base.sum()
-    by_word = np.argsort(word, kind="stable")
-    word_starts = np.searchsorted(word[by_word], np.arange(len(known)))
-    document_starts = np.searchsorted(document, np.arange(document[-1] + 1))
-    mix = (np.random.default_rng(seed).gamma(0.3, 1, (document[-1] + 1, topics + 1)) + 0.01).astype(np.float32)
-    mix /= mix.sum(1, keepdims=True)
-    part = mix[document] * n[:, None]
+def varimax(directions: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The orthonormal columns turned within their space so that each is far from zero for few rows, and there above it."""
+    turn, before = np.eye(directions.shape[1]), 0.0
     for _ in range(rounds):
-        counts = np.add.reduceat(part[by_word], word_starts, axis=0)
-        phi = counts + SMOOTH * len(known) * base[:, None]
-        phi /= phi.sum(0)
-        phi[:, 0] = base
-        part = mix[document] * phi[word]
-        part *= (n / part.sum(1))[:, None]
-        mix = np.add.reduceat(part, document_starts, axis=0) + np.float32(SPARSE)
-        mix /= mix.sum(1, keepdims=True)
-    return known, np.add.reduceat(part[by_word], word_starts, axis=0)[:, 1:]
+        at = directions @ turn
+        square = at * at
+        left, size, right = np.linalg.svd(directions.T @ (at * square - at * square.mean(0)))
+        turn = left @ right
+        if size.sum() < before * (1 + 1e-5):
+            break
+        before = size.sum()
+    at = directions @ turn
+    return at * np.where((at**3).sum(0) < 0, -1.0, 1.0)
+
+
+def discover(count: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and the counts of each in each topic, that the topics of a language start from. count: of each word in all
+    documents; directions: a row for each word, at most TOPICS orthonormal columns. A direction's other end is a topic too if it
+    is at least half as far (two topics that exclude each other are the ends of one direction)."""
+    if not len(count) or not directions.shape[1]:
+        return np.zeros(0, dtype=np.int64), np.zeros((0, TOPICS))
+    at = varimax(directions)
+    ends = np.column_stack([at, -at[:, -at.min(0) >= at.max(0) / 2]])
+    at = ends[:, np.argsort(-(np.maximum(ends, 0) ** 4).sum(0), kind="stable")[:TOPICS]]
+    topic = at.argmax(1)
+    rows = np.flatnonzero(at.max(1) > np.minimum(STANDS_OUT / np.sqrt(len(at)), at.max(0) / 2)[topic])
+    counts = np.zeros((len(rows), TOPICS))
+    counts[np.arange(len(rows)), topic[rows]] = count[rows]
+    return rows, counts
 
 
 def _bag_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each document's distinct words, at most a vocabulary, with counts."""
     for batch in batches:
         found = [np.unique(np.frombuffer(p, np.int32), return_counts=True) for p in batch["places"]]
-        yield pd.DataFrame({"group": batch["group"], "drawn": batch["drawn"], "places": [p.tobytes() for p, _ in found], "counts": [c.astype(np.int32).tobytes() for _, c in found]})
+        yield pd.DataFrame({"group": batch["group"], "mask": batch["mask"], "places": [p.tobytes() for p, _ in found], "counts": [c.astype(np.int32).tobytes() for _, c in found]})
 
 
-def _discover_group(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("drawn")
-    documents = [(np.frombuffer(p, np.int32), np.frombuffer(c, np.int32)) for p, c in zip(rows["places"], rows["counts"])]
-    places, counts = discover(documents, 10 + int(rows["group"].iloc[0]))
-    row, topic = np.nonzero(counts > 0.5)
-    return pd.DataFrame({"place": places[row].astype(np.int64), "topic": topic.astype(np.int32), "n": counts[row, topic].astype(float)})
+def _bag(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each document: document, place, count."""
+    places = np.frombuffer(b"".join(batch["places"]), np.int32)
+    document = np.repeat(np.arange(len(batch)), [len(p) // 4 for p in batch["places"]])
+    return document, places, np.frombuffer(b"".join(batch["counts"]), np.int32).astype(np.float32)
 
 
 def _own_words(batch: pd.DataFrame, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each document that are of its own language: document, place, count."""
-    places, unit, document, _ = _flat(batch)
-    own = document[unit]
-    same = group[places] == batch["group"].to_numpy()[own]
-    return bags(places[same], own[same], len(group))
+    document, places, n = _bag(batch)
+    same = group[places] == batch["group"].to_numpy()[document]
+    return document[same], places[same], n[same]
 
 
 def _odds(ratio: np.ndarray) -> np.ndarray:
@@ -230,6 +219,72 @@ def _sum_rows(counts: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"place": some.astype(np.int32), **{f"t{j}": counts[some, j].astype(np.float32) for j in range(counts.shape[1])}})
 
 
+def _together(known):
+    """The matrix of words that stand together, times the directions: sums over all documents. A word weighs its share of the
+    document against the root of its count everywhere. The last column is each word's product with itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, _, _, directions = known.value
+        out = np.zeros((len(group), directions.shape[1] + 1))
+        for batch in _slices(batches):
+            document, places, n = _own_words(batch, group)
+            if not len(places):
+                continue
+            weight = n / np.sqrt(known.value[1][places] * np.bincount(document, weights=n, minlength=len(batch))[document])
+            some, column = np.unique(places, return_inverse=True)
+            texts = np.zeros((len(batch), len(some)), dtype=np.float32)
+            texts[document, column] = weight
+            out[some, :-1] += texts.T @ (texts @ directions[some])
+            out[some, -1] += np.bincount(column, weights=weight * weight)
+        found = _sum_rows(out)
+        found.insert(0, "group", group[found["place"]])
+        yield found
+
+    return run
+
+
+def _image(rows: pd.DataFrame, known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of one language: places, directions, and the matrix of words that stand together times the directions."""
+    group, count, _, directions = known.value
+    own = np.flatnonzero(group == rows["group"].iloc[0])
+    at, image = directions[own].astype(float), np.zeros((len(own), directions.shape[1] + 1))
+    image[np.searchsorted(own, rows["place"])] = rows.iloc[:, 2:].to_numpy(dtype=float)
+    image = image[:, :-1] - image[:, -1:] * at
+    shared = np.sqrt(count[own] / max(1.0, count[own].sum()))
+    return own, at, image - np.outer(shared, shared @ image)
+
+
+def _turned(known):
+    """The next directions of a language: orthonormal columns of the image."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = np.linalg.qr(_image(rows, known)[2])[0]
+        return pd.DataFrame({"group": rows["group"].iloc[:1], "width": [found.shape[1]], "directions": [found.astype(np.float32).tobytes()]})
+
+    return run
+
+
+def _started(known):
+    """Places and counts in the topics that a language starts from, by its principal directions."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        _, count, number, _ = known.value
+        own, at, image = _image(rows, known)
+        used = min(at.shape[1], len(own))
+        size, turn = np.linalg.eigh(at[:, :used].T @ image[:, :used])
+        best = np.argsort(-size)[:TOPICS]
+        chance = (len(own) + 2 * np.sqrt(number[rows["group"].iloc[0]] * len(own))) / max(1.0, count[own].sum())
+        found = at[:, :used] @ turn[:, best[size[best] > chance]]
+        if found.shape[1] < TOPICS:
+            # Few topics share out all documents, so that one of them may only show as what the others leave of the language.
+            found = np.column_stack([np.sqrt(count[own] / max(1.0, count[own].sum())), found])
+        places, counts = discover(count[own], found)
+        row, topic = np.nonzero(counts)
+        return pd.DataFrame({"place": own[places[row]], "topic": topic.astype(np.int32), "n": counts[row, topic]})
+
+    return run
+
+
 def _topic_round(model):
     """Sums of a round over all documents: for each word its count in each topic."""
 
@@ -272,8 +327,7 @@ def _subject_round(model):
         k = m.ratio.shape[1]
         counts, topical = np.zeros((len(m.words), k)), m.ratio.max(1) > 1
         for batch in _slices(batches):
-            places, unit, document, _ = _flat(batch)
-            document, places, n = bags(places, document[unit], len(m.words))
+            document, places, n = _bag(batch)
             chosen = topical[places]
             mix = mixtures(document[chosen], _odds(m.ratio[places[chosen]]), n[chosen], len(batch), 2.0)
             part = mix[document] * _odds(m.ratio[places])
@@ -392,6 +446,31 @@ def _schema(k: int) -> str:
     return "place int, " + ", ".join(f"t{j} float" for j in range(k))
 
 
+def starting_topics(bags: DataFrame, group: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Counts of each word in the topics that its language starts from: up to TOPICS directions in which words stand together
+    most, by subspace iteration from a seeded start. The direction that all documents share, the language itself, is taken out,
+    and so is each word's product with itself, which says nothing of other words. Words drawn by chance alone would have sizes
+    of up to (w + 2 root(d w)) / n for d documents, w words and n words in all documents; only directions above that count."""
+    spark = bags.sparkSession
+    number = np.zeros(int(group.max()) + 1)
+    for g, n in bags.groupBy("group").agg(F.count("*")).collect():
+        number[g] = n
+    directions = np.random.default_rng(10).standard_normal((len(group), DIRECTIONS), dtype=np.float32)
+    sums_of = [F.sum(f"t{j}").cast("float").alias(f"t{j}") for j in range(DIRECTIONS + 1)]
+    for i in range(PASSES):
+        known = spark.sparkContext.broadcast((group, np.maximum(1.0, count), number, directions))
+        images = bags.mapInPandas(_together(known), "group int, " + _schema(DIRECTIONS + 1)).groupBy("group", "place").agg(*sums_of).groupBy("group")
+        if i == PASSES - 1:
+            break
+        directions = np.zeros_like(directions)
+        for g, width, packed in images.applyInPandas(_turned(known), "group int, width int, directions binary").collect():
+            directions[group == g, :width] = np.frombuffer(packed, np.float32).reshape(-1, width)
+    topics = np.zeros((len(group), TOPICS))
+    first = images.applyInPandas(_started(known), "place long, topic int, n double").toPandas()
+    topics[first["place"].to_numpy(dtype=np.int64), first["topic"].to_numpy(dtype=np.int64)] = first["n"].to_numpy(dtype=float)
+    return topics
+
+
 def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Fitted:
     """Finds topics, maps them to the subjects and fits the subjects' topics to all documents."""
     spark = documents.sparkSession
@@ -446,21 +525,16 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, id_column:
     base = np.maximum(count, 0.5) / np.maximum(1.0, np.bincount(group, weights=count))[group]
     model = Model(words, group, base, np.ones((len(words), TOPICS), dtype=np.float32))
 
-    # Topics without labels: a first fit on a sample of each language, then a round over all documents.
-    in_group = {r[0]: r[1] for r in placed.where("group >= 0").groupBy("group").agg(F.count("*")).collect()}
-    drawn = F.xxhash64(F.lit(10), "doc_id")
-    most = reduce(lambda at, x: F.when(F.col("group") == x[0], F.lit(min(1.0, SAMPLE / x[1]))).otherwise(at), sorted(in_group.items()), F.lit(0.0))
-    sampled = placed.withColumn("drawn", drawn).where((F.shiftrightunsigned("drawn", 11) / F.lit(float(2**53))) <= most)
-    bag = sampled.select("group", "drawn", "places").mapInPandas(_bag_rows, "group int, drawn long, places binary, counts binary")
-    first = bag.groupBy("group").applyInPandas(_discover_group, "place long, topic int, n double").toPandas()
-    topics = np.zeros((len(words), TOPICS))
-    topics[first["place"].to_numpy(dtype=np.int64), first["topic"].to_numpy(dtype=np.int64)] = first["n"].to_numpy(dtype=float)
-    model = model.update(topics)
-    topics = _collected(placed.mapInPandas(_topic_round(spark.sparkContext.broadcast(model)), _schema(TOPICS)), len(words), TOPICS)
-    model = model.update(topics)
+    # Topics without labels, from all documents. Documents of a language lie together, so that a task's sums have few languages' words.
+    bags = placed.where("group >= 0").select("group", "mask", "places", F.xxhash64(F.lit(10), "doc_id").alias("place")).repartitionByRange("group", "place").sortWithinPartitions("group")
+    bags = written(bags.select("group", "mask", "places").mapInPandas(_bag_rows, "group int, mask long, places binary, counts binary"), "bags")
+    model = model.update(starting_topics(bags, group, count))
+    for _ in range(TOPIC_ROUNDS):
+        topics = _collected(bags.mapInPandas(_topic_round(spark.sparkContext.broadcast(model)), _schema(TOPICS)), len(words), TOPICS)
+        model = model.update(topics)
 
     # Topics to subjects by their top terms.
-    evidence = _collected(placed.where("mask > 0").mapInPandas(_evidence(group, k), _schema(k)), len(words), k)
+    evidence = _collected(bags.where("mask > 0").mapInPandas(_evidence(group, k), _schema(k)), len(words), k)
     numbers, described = WordNumbers(), np.zeros((len(words), k))
     for j, (name, text) in enumerate(about):
         for w in WORD.findall(f"{name} {text}".lower()):
@@ -477,7 +551,7 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, id_column:
     model = model.update(counts)
     model.ratio[~speaking] = 1.0
     for _ in range(ROUNDS):
-        model = model.update(_collected(placed.mapInPandas(_subject_round(spark.sparkContext.broadcast(model)), _schema(k)), len(words), k))
+        model = model.update(_collected(bags.mapInPandas(_subject_round(spark.sparkContext.broadcast(model)), _schema(k)), len(words), k))
     return Fitted(placed, model, names, mapping, list(groups))
 
 

@@ -65,6 +65,20 @@ def test_terms_show_what_each_topic_is_about(spark, corpus):
     assert np.mean([r["term"] in TERMS[r["subject"]] for r in rows]) > 0.9
 
 
+def test_a_subject_outside_any_sample_is_found(spark):
+    from pyspark.sql import functions as F
+
+    # Music is only in documents whose hashes are the greatest: a draw of 1,500 of these by hash has none of it.
+    drawn = (F.shiftrightunsigned(F.xxhash64(F.lit(10), "id"), 11) / F.lit(float(2**53))).alias("drawn")
+    ids = [r["id"] for r in spark.range(2500).select("id", drawn).orderBy("drawn").collect()]
+    topics = dict(zip(ids, [["sport", "law", "food", None][i % 4] if i < 2300 else "music" for i in range(2500)]))
+    documents = spark.createDataFrame([(i, about(t, 8, i), "en") for i, t in topics.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, t) for i, t in topics.items() if t and i % 5 == 0], "doc_id long, subject string")
+    found = {(r["doc_id"], r["subject"]) for r in subjects.document_subjects(documents, spark.createDataFrame([(t, "") for t in TERMS], "subject string, about string"), labels).collect()}
+    right = {s: np.mean([(i, s) in found for i, t in topics.items() if t == s]) for s in TERMS}
+    assert min(right.values()) > 0.95, right
+
+
 def test_sums_and_proportions_of_nothing():
     none = np.zeros(0, dtype=np.int64)
     assert subjects.sums(none, np.zeros((0, 3), dtype=np.float32), 2).dtype == np.float32
